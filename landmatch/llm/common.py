@@ -12,18 +12,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared(df: DataFrame) -> DataFrame:
-    """df cut from its lineage by files in the folder of spark.checkpoint.dir, which all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: that of spark.checkpoint.dir.
 
     Only where that setting is unset, as in local tests, a folder of this machine is set.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
+    return context.getCheckpointDir()
+
+
+def shared(df: DataFrame) -> DataFrame:
+    """df cut from its lineage by files in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def fold(key: str | Column = "doc_id", n: int = 5) -> Column:
     """crc32 of the key as text, modulo n: the deterministic split into folds."""
     return F.crc32((F.col(key) if isinstance(key, str) else key).cast("string").cast("binary")) % n
-

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landmatch.llm import language, quality, simhash
+from landmatch.llm import bpe, language, quality, simhash
 from landmatch.llm.common import fold, table
 
 
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern)
+    decoded = bpe.decode(encoded.select("doc_id", "n_tokens", "ids"), path, pattern)
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(quality.measure(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -26,5 +34,5 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op5_quality_rules, op6_language_id, op7_simhash)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op5_quality_rules, op6_language_id, op7_simhash)}
 ORACLES: dict[str, str] = {}
