@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landmatch.llm import bpe, language, packing, quality, simhash
+from landmatch.llm import ann, bpe, language, lm, packing, quality, sharding, simhash
 from landmatch.llm.common import fold, table
 
 
@@ -17,6 +17,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -39,5 +43,17 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op4_packing, op5_quality_rules, op6_language_id, op7_simhash)}
+def op9_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The old layout keeps a source together, so that the hot source overfills its shard."""
+    old = F.crc32(F.coalesce("source", F.lit("")).cast("binary")) % 40
+    placed = sharding.reshard(table(spark, sf_dir, "documents"), old, shards=40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+
+
+def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.score(table(spark, sf_dir, "documents"), fold() != 1, public_tokenizers.path("piece_bpe_32k.model"))
+    return scored.select("doc_id", (fold() == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_inverted_multi_index, op4_packing, op5_quality_rules, op6_language_id, op7_simhash, op9_resharding, op10_lattice_lm)}
 ORACLES: dict[str, str] = {}
