@@ -3,7 +3,8 @@
 Both halves of the vectors are quantised by their own k-means codebook, fitted on a bounded sample;
 a vector's cell is its pair of centroids, and every vector is indexed. A query walks centroid pairs by
 summed distance with a heap until the cells it has seen hold enough vectors, and the vectors of
-those cells are reranked by exact Euclidean distance in double precision.
+those cells are reranked by exact Euclidean distance in double precision. How many are enough depends
+on the data: it is measured, for a fixed number of queries, against an exact pass over all vectors.
 
 Vectors and probes meet by block: a cell with more than BLOCK vectors is several blocks, so that no
 task holds more than a few thousand vectors, and each block returns its best k for a query.
@@ -29,9 +30,10 @@ from pyspark.sql import functions as F
 #: Rows the codebooks are fitted on, at most (about: a hash of the id keeps an even share).
 MAX_SAMPLE = 20_000
 MAX_CENTROIDS = 1024
-PER_CELL = 16
-#: A query stops once its cells hold this many vectors.
-CANDIDATES = 4000
+PER_CELL = 1
+#: The walk's length is set so that, for this many queries, this share of their exact neighbours is reached.
+TRIALS = 64
+REACHED = 0.96
 BLOCK = 4096
 
 
@@ -81,7 +83,35 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def search(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 10, candidates: int = CANDIDATES) -> DataFrame:
+def enough(indexed: DataFrame, trial: pa.Table, k: int, reached: float, books: list[np.ndarray], sizes: dict[int, int]) -> int:
+    """Vectors a walk must have seen to reach the share ``reached`` of the trial queries' exact neighbours."""
+    asked = matrix(trial["v"].combine_chunks()) if trial.num_rows else np.empty((0, 1))
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, cell = matrix(batch.column("v")), batch.column("cell").to_numpy()
+            for r in range(len(asked) if len(x) else 0):
+                score = ((x - asked[r]) ** 2).sum(1)
+                best = np.argsort(score, kind="stable")[: k + 1]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), r)), pa.array(score[best]), pa.array(cell[best])], ["r", "score", "cell"])
+
+    order = Window.partitionBy("r").orderBy("score", "cell")
+    near = indexed.select("v", "cell").mapInArrow(exact, "r long, score double, cell long").withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
+    found: dict[int, list[int]] = {}
+    for row in near.collect():  # at most TRIALS * (k + 1) rows
+        found.setdefault(row["r"], []).append(row["cell"])
+    half = books[0].shape[1]
+    needed = []
+    for r, cells in found.items():
+        order_of, seen = {}, 0
+        for cell in walk(nearest(asked[r : r + 1, :half], books[0])[0], nearest(asked[r : r + 1, half:], books[1])[0], sizes, sum(sizes.values())):
+            seen += sizes[cell]
+            order_of[cell] = seen
+        needed += [order_of[c] for c in cells]
+    return max(4 * (k + 1), int(np.quantile(needed, reached, method="higher")) if needed else 0)
+
+
+def search(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 10, reached: float = REACHED) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query among all other rows."""
     spark = vectors.sparkSession
     result = "query_id long, rank int, vec_id long, score double"
@@ -151,8 +181,11 @@ def search(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: st
             take = pa.array(rows[new])
             yield pa.RecordBatch.from_arrays([pa.array(at[new]), batch.column(0).take(take), batch.column(1).take(take), lists], ["block", "id", "q", "cells"])
 
+    asking = usable.where("q").select("id", "v").distinct()
+    trial = asking.orderBy(F.xxhash64("id"), "id").limit(TRIALS).toArrow()
+    candidates = enough(indexed, trial, k, reached, books, sizes)
     held = indexed.mapInArrow(place, "block long, cell long, v array<float>, ids array<long>")
-    probes = usable.where("q").select("id", "v").distinct().mapInArrow(probe, "block long, id long, q array<float>, cells array<long>")
+    probes = asking.mapInArrow(probe, "block long, id long, q array<float>, cells array<long>")
 
     def rerank(asked: pa.Table, kept: pa.Table) -> pa.Table:
         out: list[tuple[int, int, float]] = []

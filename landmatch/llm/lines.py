@@ -1,0 +1,166 @@
+"""Fuzzy line dedup, with DataFrame functions only.
+
+Lines are normalised (lower case, words split at ASCII punctuation and white space) and get a SimHash
+of 64 bits over their words. Equal lines fall together by their hash. Different lines meet where two
+of five blocks of the SimHash agree: fingerprints within MAX_BITS = 3 bits have at least two blocks
+untouched, so no such pair is missed. Pairs are verified by edit similarity on the normalised text,
+verified pairs are joined into connected groups, and the first occurrence of each group (smallest
+document, then line) stays.
+
+A line over UNIT words is compared in units of UNIT words, so that the edit distance of a pair is
+bounded; it goes only if all its units go. With at most 127 words, eight counters of a
+unit's bits fit a long.
+
+Defined cases: a null text stays null and has no lines; lines without a word are never removed; a
+document may end up with empty text; rows that repeat a doc_id count as one document whose rows
+are treated alike; an empty table gives an empty result; all other columns pass through unless
+they carry an output's name. Lines are told apart by a 64-bit hash.
+"""
+
+from __future__ import annotations
+
+import itertools
+import uuid
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from landmatch.llm.common import shared, shared_folder
+from landmatch.llm.components import components
+from landmatch.llm.quality import let
+
+UNIT = 127
+MAX_BITS = 3
+SIMILARITY = 0.8
+#: First and last bit of the five blocks.
+BLOCKS = ((0, 13), (13, 26), (26, 39), (39, 52), (52, 64))
+#: A list of this many line places at most is broadcast; a longer one is joined by a shuffle.
+MAX_BROADCAST = 1_000_000
+SEPARATORS = r"[\x00-/:-@\[-`{-\x7f]+"
+
+
+def signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def simhash(words: Column) -> Column:
+    """SimHash of at most UNIT words: bit b is 1 if set in over half the words' hashes.
+
+    Lane k counts bits k, k + 8, .. k + 56, each in one byte of a long.
+    """
+    lane = signed(sum(1 << 8 * k for k in range(8)))
+    zero = F.struct(*[F.lit(0).cast("long").alias(f"c{k}") for k in range(8)])
+
+    def add(s, h):
+        return F.struct(*[(s[f"c{k}"] + F.shiftrightunsigned(h, k).bitwiseAND(lane)).alias(f"c{k}") for k in range(8)])
+
+    def close(s):
+        bits = F.lit(0).cast("long")
+        for b in range(64):
+            count = F.shiftrightunsigned(s[f"c{b % 8}"], b - b % 8).bitwiseAND(255)
+            bits = bits.bitwiseOR(F.when(2 * count > F.size(words), F.lit(signed(1 << b))).otherwise(F.lit(0).cast("long")))
+        return bits
+
+    return F.aggregate(F.transform(words, lambda w: F.xxhash64(w)), zero, add, close)
+
+
+def normalised(line: Column) -> Column:
+    return F.array_remove(F.split(F.lower(line), SEPARATORS), "")
+
+
+def units(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, line, unit, words): every unit of at most UNIT words of every line with a word."""
+    split = docs.select(F.col(key), F.posexplode(F.split(F.col(text), "\n")).alias("line", "_raw"))
+    words = split.select(key, "line", normalised(F.col("_raw")).alias("_w")).where(F.size("_w") > 0)
+    starts = F.sequence(F.lit(0), F.floor((F.size("_w") - 1) / UNIT).cast("int"))
+    cut = F.when(F.size("_w") <= UNIT, F.array(F.col("_w"))).otherwise(let(F.col("_w"), lambda w: F.transform(starts, lambda k: F.slice(w, k * UNIT + 1, UNIT))))
+    return words.select(key, "line", F.posexplode(cut).alias("unit", "words"))
+
+
+def candidates(distinct: DataFrame) -> DataFrame:
+    """(h1, h2): lines whose SimHashes differ in at most MAX_BITS bits, each pair once. distinct: (h, sim)."""
+    tables = list(itertools.combinations(BLOCKS, 2))
+
+    def mask(block) -> int:
+        return signed(((1 << block[1] - block[0]) - 1) << block[0])
+
+    def key(t: int, a, b) -> Column:
+        bits = F.shiftrightunsigned("sim", a[0]).bitwiseAND((1 << a[1] - a[0]) - 1), F.shiftrightunsigned("sim", b[0]).bitwiseAND((1 << b[1] - b[0]) - 1)
+        return F.lit(t << 26).bitwiseOR(F.shiftleft(bits[0], 13)).bitwiseOR(bits[1])
+
+    keyed = distinct.select("h", "sim", F.explode(F.array(*[key(t, a, b) for t, (a, b) in enumerate(tables)])).alias("key"))
+    one, two = keyed.alias("one"), keyed.alias("two")
+    differ = F.col("one.sim").bitwiseXOR(F.col("two.sim"))
+    # of the tables where a pair meets, only that of its first two equal blocks emits it
+    owned = F.lit(True)
+    for t, (a, b) in enumerate(tables):
+        earlier = [x for x in BLOCKS if x[0] < b[0] and x != a]
+        first = F.lit(True)
+        for x in earlier:
+            first = first & (differ.bitwiseAND(mask(x)) != 0)
+        owned = F.when(F.shiftright("one.key", 26) == t, first).otherwise(owned)
+    near = (F.col("one.key") == F.col("two.key")) & (F.col("one.h") < F.col("two.h")) & (F.bit_count(differ) <= MAX_BITS) & owned
+    return one.join(two, near).select(F.col("one.h").alias("h1"), F.col("two.h").alias("h2"))
+
+
+def similar(a: str, b: str, least: float) -> Column:
+    """Edit similarity 1 - distance / longer length of at least ``least``."""
+    most = f"cast(floor((1 - {least}) * greatest(length({a}), length({b})) + 1e-9) as int)"
+    return F.expr(f"abs(length({a}) - length({b})) <= {most} and levenshtein({a}, {b}, {most}) >= 0")
+
+
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """docs with the text of the lines that stay, and n_lines, n_removed (long)."""
+    spark = docs.sparkSession
+    at = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    units(docs, key, text).select(key, "line", "unit", F.xxhash64("words").alias("h"), simhash(F.col("words")).alias("sim")).write.parquet(at)
+    held = spark.read.parquet(at)
+    place = F.struct(key, "line", "unit")
+    distinct = held.groupBy("h").agg(F.max("sim").alias("sim"), F.min(key).alias("least"), F.count("*").alias("n"))
+    pairs = shared(candidates(distinct))
+
+    wanted = pairs.select(F.explode(F.array("h1", "h2")).alias("h")).distinct()
+    found = shared(held.join(wanted, "h").groupBy("h").agg(F.min(place).alias("at")).select("h", "at.*"))
+    seats = F.broadcast(found) if found.count() <= MAX_BROADCAST else found
+    texts = shared(_texts(docs, seats, key, text))
+    verified = (
+        pairs.join(texts.select(F.col("h").alias("h1"), F.col("norm").alias("a")), "h1")
+        .join(texts.select(F.col("h").alias("h2"), F.col("norm").alias("b")), "h2")
+        .where(similar("a", "b", similarity))
+        .select(F.least("h1", "h2").alias("a"), F.greatest("h1", "h2").alias("b"))
+    )
+    groups = components(shared(verified.distinct())).select(F.col("node").alias("h"), "root")
+
+    # lines that stand more than once, or beside a similar one
+    many = distinct.select("h", "n").join(groups, "h", "left").where("n > 1 or root is not null").select("h", F.coalesce("root", "h").alias("root"))
+    repeated = held.join(many, "h").select(key, "line", "unit", "root")
+    keepers = repeated.groupBy("root").agg(F.min(place).alias("keeper"))
+    gone = repeated.join(keepers, "root").where(place != F.col("keeper")).groupBy(key, "line").agg(F.count_distinct("unit").alias("gone"))
+    removed = gone.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("line", "gone"))).alias("_gone"))
+
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed", "_gone")]
+    lines = F.split(F.col(text), "\n")
+
+    def stays(line, k):
+        n = F.try_element_at("_gone", k)
+        return F.when(n.isNull(), F.lit(True)).otherwise(n < F.ceil(F.size(normalised(line)) / UNIT))
+
+    left = F.when(F.col("_gone").isNull(), lines).otherwise(F.filter(lines, stays))
+    joined = docs.select(*kept).join(removed, key, "left").withColumn("_left", left)
+    counted = joined.select(
+        *[F.array_join("_left", "\n").alias(c) if c == text else c for c in kept],
+        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.size(lines) - F.size("_left"), F.lit(0)).cast("long").alias("n_removed"),
+    )
+    return counted
+
+
+def _texts(docs: DataFrame, seats: DataFrame, key: str, text: str) -> DataFrame:
+    """(h, norm): the normalised text of the units at the given places."""
+    wanted = seats.select(F.col(key).alias("_k"), "line", "unit", "h")
+    return (
+        docs.select(F.col(key), F.col(text)).join(wanted, F.col(key) == F.col("_k"))
+        .select("h", "unit", normalised(F.get(F.split(F.col(text), "\n"), F.col("line"))).alias("_w"))
+        .select("h", F.array_join(F.slice("_w", F.col("unit") * UNIT + 1, F.lit(UNIT)), " ").alias("norm"))
+        .groupBy("h").agg(F.max("norm").alias("norm"))
+    )

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landmatch.llm import ann, bpe, language, lm, packing, quality, sharding, simhash
+from landmatch.llm import ann, bpe, language, licenses, lines, lm, packing, quality, sharding, simhash
 from landmatch.llm.common import fold, table
 
 
@@ -21,6 +21,11 @@ def op2_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op3_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -43,6 +48,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licences(table(spark, sf_dir, "documents"))
+
+
 def op9_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The old layout keeps a source together, so that the hot source overfills its shard."""
     old = F.crc32(F.coalesce("source", F.lit("")).cast("binary")) % 40
@@ -55,5 +64,5 @@ def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold() == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_inverted_multi_index, op4_packing, op5_quality_rules, op6_language_id, op7_simhash, op9_resharding, op10_lattice_lm)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_inverted_multi_index, op3_fuzzy_lines, op4_packing, op5_quality_rules, op6_language_id, op7_simhash, op8_license_scan, op9_resharding, op10_lattice_lm)}
 ORACLES: dict[str, str] = {}
