@@ -1,4 +1,6 @@
 """All queries of the reconciliation engine by name, and their SQL twins."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from landmatch.plans import compare, dictionary, history, live  # noqa: F401  they register their queries
+from landmatch.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
