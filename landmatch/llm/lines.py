@@ -32,6 +32,8 @@ from landmatch.llm.quality import let
 UNIT = 127
 MAX_BITS = 3
 SIMILARITY = 0.8
+#: Edit distance that is tried first.
+NARROW = 16
 #: First and last bit of the five blocks.
 BLOCKS = ((0, 13), (13, 26), (26, 39), (39, 52), (52, 64))
 #: A list of this many line places at most is broadcast; a longer one is joined by a shuffle.
@@ -43,25 +45,20 @@ def signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def simhash(words: Column) -> Column:
-    """SimHash of at most UNIT words: bit b is 1 if set in over half the words' hashes.
+def simhashes(split: DataFrame, by: list[str]) -> DataFrame:
+    """(by.., sim): SimHash of each row's words, at most UNIT of them: bit b is 1 if set in over half the words' hashes.
 
-    Lane k counts bits k, k + 8, .. k + 56, each in one byte of a long.
+    Words become rows that are summed before the shuffle, which keeps the work in generated code. Lane k counts
+    bits k, k + 8, .. k + 56, each in one byte of a long.
     """
     lane = signed(sum(1 << 8 * k for k in range(8)))
-    zero = F.struct(*[F.lit(0).cast("long").alias(f"c{k}") for k in range(8)])
-
-    def add(s, h):
-        return F.struct(*[(s[f"c{k}"] + F.shiftrightunsigned(h, k).bitwiseAND(lane)).alias(f"c{k}") for k in range(8)])
-
-    def close(s):
-        bits = F.lit(0).cast("long")
-        for b in range(64):
-            count = F.shiftrightunsigned(s[f"c{b % 8}"], b - b % 8).bitwiseAND(255)
-            bits = bits.bitwiseOR(F.when(2 * count > F.size(words), F.lit(signed(1 << b))).otherwise(F.lit(0).cast("long")))
-        return bits
-
-    return F.aggregate(F.transform(words, lambda w: F.xxhash64(w)), zero, add, close)
+    hashed = split.select(*by, F.explode("words").alias("w")).select(*by, F.xxhash64("w").alias("x"))
+    sums = hashed.groupBy(*by).agg(F.count("*").alias("_n"), *[F.sum(F.shiftrightunsigned("x", k).bitwiseAND(lane)).alias(f"_c{k}") for k in range(8)])
+    bits = F.lit(0).cast("long")
+    for b in range(64):
+        count = F.shiftrightunsigned(f"_c{b % 8}", b - b % 8).bitwiseAND(255)
+        bits = bits.bitwiseOR(F.when(2 * count > F.col("_n"), F.lit(signed(1 << b))).otherwise(F.lit(0).cast("long")))
+    return sums.select(*by, bits.alias("sim"))
 
 
 def normalised(line: Column) -> Column:
@@ -69,12 +66,12 @@ def normalised(line: Column) -> Column:
 
 
 def units(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, line, unit, words): every unit of at most UNIT words of every line with a word."""
-    split = docs.select(F.col(key), F.posexplode(F.split(F.col(text), "\n")).alias("line", "_raw"))
-    words = split.select(key, "line", normalised(F.col("_raw")).alias("_w")).where(F.size("_w") > 0)
+    """(key, _row, line, unit, words): every unit of at most UNIT words of every line with a word; _row tells rows of one key apart."""
+    split = docs.select(F.col(key), F.monotonically_increasing_id().alias("_row"), F.col(text)).select(key, "_row", F.posexplode(F.split(F.col(text), "\n")).alias("line", "_raw"))
+    words = split.select(key, "_row", "line", normalised(F.col("_raw")).alias("_w")).where(F.size("_w") > 0)
     starts = F.sequence(F.lit(0), F.floor((F.size("_w") - 1) / UNIT).cast("int"))
     cut = F.when(F.size("_w") <= UNIT, F.array(F.col("_w"))).otherwise(let(F.col("_w"), lambda w: F.transform(starts, lambda k: F.slice(w, k * UNIT + 1, UNIT))))
-    return words.select(key, "line", F.posexplode(cut).alias("unit", "words"))
+    return words.select(key, "_row", "line", F.posexplode(cut).alias("unit", "words"))
 
 
 def candidates(distinct: DataFrame) -> DataFrame:
@@ -104,16 +101,38 @@ def candidates(distinct: DataFrame) -> DataFrame:
 
 
 def similar(a: str, b: str, least: float) -> Column:
-    """Edit similarity 1 - distance / longer length of at least ``least``."""
+    """Edit similarity 1 - distance / longer length of at least ``least``; a narrow band is tried before the whole one."""
     most = f"cast(floor((1 - {least}) * greatest(length({a}), length({b})) + 1e-9) as int)"
-    return F.expr(f"abs(length({a}) - length({b})) <= {most} and levenshtein({a}, {b}, {most}) >= 0")
+    wide = f"({most} > {NARROW} and levenshtein({a}, {b}, {most}) >= 0)"
+    return F.expr(f"abs(length({a}) - length({b})) <= {most} and (levenshtein({a}, {b}, least({NARROW}, {most})) >= 0 or {wide})")
+
+
+def grouped(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(h, root) of every line in pairs. Each line is first compared with its smallest partner; after that only pairs of lines that are not in one group yet."""
+
+    def verified(some: DataFrame) -> DataFrame:
+        return (
+            some.join(texts.select(F.col("h").alias("h1"), F.col("norm").alias("a")), "h1")
+            .join(texts.select(F.col("h").alias("h2"), F.col("norm").alias("b")), "h2")
+            .where(similar("a", "b", similarity))
+        )
+
+    first = components(shared(verified(pairs.groupBy("h2").agg(F.min("h1").alias("h1"))).select(F.col("h1").alias("a"), F.col("h2").alias("b"))))
+    members = pairs.select(F.explode(F.array("h1", "h2")).alias("h")).distinct()
+    held = shared(members.join(first, members.h == first.node, "left").select("h", F.coalesce("root", "h").alias("root")))
+    of = lambda k: held.select(F.col("h").alias(f"h{k}"), F.col("root").alias(f"r{k}"))
+    apart = pairs.join(of(1), "h1").join(of(2), "h2").where("r1 <> r2")
+    links = verified(apart).select(F.least("r1", "r2").alias("a"), F.greatest("r1", "r2").alias("b")).distinct()
+    joined = components(shared(links)).select("node", F.col("root").alias("last"))
+    return held.join(joined, held.root == joined.node, "left").select("h", F.coalesce("last", "root").alias("root"))
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """docs with the text of the lines that stay, and n_lines, n_removed (long)."""
     spark = docs.sparkSession
     at = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
-    units(docs, key, text).select(key, "line", "unit", F.xxhash64("words").alias("h"), simhash(F.col("words")).alias("sim")).write.parquet(at)
+    by = [key, "_row", "line", "unit", "h"]
+    simhashes(units(docs, key, text).select(*by[:-1], F.xxhash64("words").alias("h"), "words"), by).drop("_row").write.parquet(at)
     held = spark.read.parquet(at)
     place = F.struct(key, "line", "unit")
     distinct = held.groupBy("h").agg(F.max("sim").alias("sim"), F.min(key).alias("least"), F.count("*").alias("n"))
@@ -123,13 +142,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
     found = shared(held.join(wanted, "h").groupBy("h").agg(F.min(place).alias("at")).select("h", "at.*"))
     seats = F.broadcast(found) if found.count() <= MAX_BROADCAST else found
     texts = shared(_texts(docs, seats, key, text))
-    verified = (
-        pairs.join(texts.select(F.col("h").alias("h1"), F.col("norm").alias("a")), "h1")
-        .join(texts.select(F.col("h").alias("h2"), F.col("norm").alias("b")), "h2")
-        .where(similar("a", "b", similarity))
-        .select(F.least("h1", "h2").alias("a"), F.greatest("h1", "h2").alias("b"))
-    )
-    groups = components(shared(verified.distinct())).select(F.col("node").alias("h"), "root")
+    groups = grouped(pairs, texts, similarity)
 
     # lines that stand more than once, or beside a similar one
     many = distinct.select("h", "n").join(groups, "h", "left").where("n > 1 or root is not null").select("h", F.coalesce("root", "h").alias("root"))
