@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landmatch.llm import ann, bpe, language, licenses, lines, lm, packing, quality, sharding, simhash
+from landmatch.llm import ann, bpe, language, licenses, lines, lm, oracles, packing, quality, sharding, simhash
 from landmatch.llm.common import fold, table
 
 
@@ -65,4 +65,4 @@ def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_inverted_multi_index, op3_fuzzy_lines, op4_packing, op5_quality_rules, op6_language_id, op7_simhash, op8_license_scan, op9_resharding, op10_lattice_lm)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_quality_rules": oracles.QUALITY, "op8_license_scan": oracles.LICENCES}
