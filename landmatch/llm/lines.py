@@ -131,12 +131,16 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
     """docs with the text of the lines that stay, and n_lines, n_removed (long)."""
     spark = docs.sparkSession
     at = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
-    by = [key, "_row", "line", "unit", "h"]
-    simhashes(units(docs, key, text).select(*by[:-1], F.xxhash64("words").alias("h"), "words"), by).drop("_row").write.parquet(at)
+    by = [key, "_row", "line", "unit", "h", "chars"]
+    cut = units(docs, key, text).select(*by[:-2], F.xxhash64("words").alias("h"), F.length(F.array_join("words", " ")).alias("chars"), "words")
+    simhashes(cut, by).drop("_row").write.parquet(at)
     held = spark.read.parquet(at)
     place = F.struct(key, "line", "unit")
-    distinct = held.groupBy("h").agg(F.max("sim").alias("sim"), F.min(key).alias("least"), F.count("*").alias("n"))
-    pairs = shared(candidates(distinct))
+    distinct = held.groupBy("h").agg(F.max("sim").alias("sim"), F.max("chars").alias("chars"), F.count("*").alias("n"))
+    size = lambda k: distinct.select(F.col("h").alias(f"h{k}"), F.col("chars").alias(f"n{k}"))
+    near = candidates(distinct.select("h", "sim")).join(size(1), "h1").join(size(2), "h2")
+    # lengths alone rule out most pairs, before any text is fetched
+    pairs = shared(near.where(F.abs(F.col("n1") - F.col("n2")) <= F.floor((1 - similarity) * F.greatest("n1", "n2") + 1e-9)).select("h1", "h2"))
 
     wanted = pairs.select(F.explode(F.array("h1", "h2")).alias("h")).distinct()
     found = shared(held.join(wanted, "h").groupBy("h").agg(F.min(place).alias("at")).select("h", "at.*"))
