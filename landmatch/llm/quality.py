@@ -87,8 +87,8 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) < 4, F.lit(0)).otherwise(let(let(words, windows), unless_distinct))
 
 
-def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the columns of COUNTS, all long."""
+def measure(docs: DataFrame, text: str = "text", more: tuple[Column, ...] = ()) -> DataFrame:
+    """docs with the columns of COUNTS, all long; ``more`` columns are made beside the counts."""
     whole = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(whole, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     stops = [*STOP_WORDS, *(w.capitalize() for w in STOP_WORDS)]
@@ -108,6 +108,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         counted.alias("_words"),
         by_line.alias("_lines"),
         F.regexp_count(whole, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        *more,
     )
     return out.select(
         *[c for c in out.columns if c not in ("_words", "_lines")],
@@ -142,3 +143,13 @@ def judge(measured: DataFrame, rules=RULES, min_words: int = 50, max_repeat_pct:
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))
     failed = F.array_compact(F.array(*[broken(r) for r in rules]))
     return measured.withColumns({"base_failed": base, "failed_rules": failed}).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+
+
+def keep(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The documents that are kept, with their own columns.
+
+    A row number stands beside the counts: Spark does not push a filter through such a projection, where it would
+    compute every count anew for each of the rules that name it.
+    """
+    measured = measure(docs, text, (F.monotonically_increasing_id().alias("_row"),))
+    return judge(measured).where(F.col("kept") & (F.col("_row") >= 0)).select(*docs.columns)
