@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 
 from landmatch.llm.common import shared, shared_folder
 from landmatch.llm.components import components
-from landmatch.llm.quality import let
 
 UNIT = 127
 MAX_BITS = 3
@@ -46,13 +45,13 @@ def signed(mask: int) -> int:
 
 
 def simhashes(split: DataFrame, by: list[str]) -> DataFrame:
-    """(by.., sim): SimHash of each row's words, at most UNIT of them: bit b is 1 if set in over half the words' hashes.
+    """(by.., sim): SimHash of the words of each row's norm, at most UNIT of them: bit b is 1 if set in over half the words' hashes.
 
     Words become rows that are summed before the shuffle, which keeps the work in generated code. Lane k counts
     bits k, k + 8, .. k + 56, each in one byte of a long.
     """
     lane = signed(sum(1 << 8 * k for k in range(8)))
-    hashed = split.select(*by, F.explode("words").alias("w")).select(*by, F.xxhash64("w").alias("x"))
+    hashed = split.select(*by, F.explode(F.split("norm", " ")).alias("w")).select(*by, F.xxhash64("w").alias("x"))
     sums = hashed.groupBy(*by).agg(F.count("*").alias("_n"), *[F.sum(F.shiftrightunsigned("x", k).bitwiseAND(lane)).alias(f"_c{k}") for k in range(8)])
     bits = F.lit(0).cast("long")
     for b in range(64):
@@ -62,20 +61,33 @@ def simhashes(split: DataFrame, by: list[str]) -> DataFrame:
 
 
 def normalised(line: Column) -> Column:
-    return F.array_remove(F.split(F.lower(line), SEPARATORS), "")
+    """The words of a line, lower case, with single spaces between them."""
+    return F.trim(F.regexp_replace(F.lower(line), SEPARATORS, " "))
+
+
+def n_units(norm: Column) -> Column:
+    words = F.length(norm) - F.length(F.replace(norm, F.lit(" "), F.lit(""))) + 1
+    return F.ceil(words / UNIT)
+
+
+def cut(norm: Column) -> Column:
+    """Units of at most UNIT words: every UNIT-th space becomes a line break, where the units part."""
+    whole = rf"\G((?:[^ ]++ ){{{UNIT - 1}}}[^ ]++) "
+    return F.when(n_units(norm) <= 1, F.array(norm)).otherwise(F.split(F.regexp_replace(norm, whole, "$1\n"), "\n"))
 
 
 def units(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, _row, line, unit, words): every unit of at most UNIT words of every line with a word; _row tells rows of one key apart."""
+    """(key, _row, line, unit, norm): every unit of at most UNIT words of every line with a word; _row tells rows of one key apart.
+
+    Blank lines go after the last generator, so that no filter repeats the normalisation below it.
+    """
     split = docs.select(F.col(key), F.monotonically_increasing_id().alias("_row"), F.col(text)).select(key, "_row", F.posexplode(F.split(F.col(text), "\n")).alias("line", "_raw"))
-    words = split.select(key, "_row", "line", normalised(F.col("_raw")).alias("_w")).where(F.size("_w") > 0)
-    starts = F.sequence(F.lit(0), F.floor((F.size("_w") - 1) / UNIT).cast("int"))
-    cut = F.when(F.size("_w") <= UNIT, F.array(F.col("_w"))).otherwise(let(F.col("_w"), lambda w: F.transform(starts, lambda k: F.slice(w, k * UNIT + 1, UNIT))))
-    return words.select(key, "_row", "line", F.posexplode(cut).alias("unit", "words"))
+    lines = split.select(key, "_row", "line", normalised(F.col("_raw")).alias("_norm"))
+    return lines.select(key, "_row", "line", F.posexplode(cut(F.col("_norm"))).alias("unit", "norm")).where("norm <> ''")
 
 
-def candidates(distinct: DataFrame) -> DataFrame:
-    """(h1, h2): lines whose SimHashes differ in at most MAX_BITS bits, each pair once. distinct: (h, sim)."""
+def candidates(distinct: DataFrame, similarity: float) -> DataFrame:
+    """(h1, h2): lines whose SimHashes differ in at most MAX_BITS bits and whose lengths allow the similarity, each pair once. distinct: (h, sim, chars)."""
     tables = list(itertools.combinations(BLOCKS, 2))
 
     def mask(block) -> int:
@@ -85,7 +97,7 @@ def candidates(distinct: DataFrame) -> DataFrame:
         bits = F.shiftrightunsigned("sim", a[0]).bitwiseAND((1 << a[1] - a[0]) - 1), F.shiftrightunsigned("sim", b[0]).bitwiseAND((1 << b[1] - b[0]) - 1)
         return F.lit(t << 26).bitwiseOR(F.shiftleft(bits[0], 13)).bitwiseOR(bits[1])
 
-    keyed = distinct.select("h", "sim", F.explode(F.array(*[key(t, a, b) for t, (a, b) in enumerate(tables)])).alias("key"))
+    keyed = distinct.select("h", "sim", "chars", F.explode(F.array(*[key(t, a, b) for t, (a, b) in enumerate(tables)])).alias("key"))
     one, two = keyed.alias("one"), keyed.alias("two")
     differ = F.col("one.sim").bitwiseXOR(F.col("two.sim"))
     # of the tables where a pair meets, only that of its first two equal blocks emits it
@@ -97,6 +109,9 @@ def candidates(distinct: DataFrame) -> DataFrame:
             first = first & (differ.bitwiseAND(mask(x)) != 0)
         owned = F.when(F.shiftright("one.key", 26) == t, first).otherwise(owned)
     near = (F.col("one.key") == F.col("two.key")) & (F.col("one.h") < F.col("two.h")) & (F.bit_count(differ) <= MAX_BITS) & owned
+    # lengths alone rule out most pairs, before any text is fetched
+    longer = F.greatest("one.chars", "two.chars")
+    near &= longer - F.least("one.chars", "two.chars") <= F.floor((1 - similarity) * longer + 1e-9)
     return one.join(two, near).select(F.col("one.h").alias("h1"), F.col("two.h").alias("h2"))
 
 
@@ -132,15 +147,12 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
     spark = docs.sparkSession
     at = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
     by = [key, "_row", "line", "unit", "h", "chars"]
-    cut = units(docs, key, text).select(*by[:-2], F.xxhash64("words").alias("h"), F.length(F.array_join("words", " ")).alias("chars"), "words")
-    simhashes(cut, by).drop("_row").write.parquet(at)
+    marked = units(docs, key, text).select(*by[:-2], F.xxhash64("norm").alias("h"), F.length("norm").alias("chars"), "norm")
+    simhashes(marked, by).drop("_row").write.parquet(at)
     held = spark.read.parquet(at)
     place = F.struct(key, "line", "unit")
     distinct = held.groupBy("h").agg(F.max("sim").alias("sim"), F.max("chars").alias("chars"), F.count("*").alias("n"))
-    size = lambda k: distinct.select(F.col("h").alias(f"h{k}"), F.col("chars").alias(f"n{k}"))
-    near = candidates(distinct.select("h", "sim")).join(size(1), "h1").join(size(2), "h2")
-    # lengths alone rule out most pairs, before any text is fetched
-    pairs = shared(near.where(F.abs(F.col("n1") - F.col("n2")) <= F.floor((1 - similarity) * F.greatest("n1", "n2") + 1e-9)).select("h1", "h2"))
+    pairs = shared(candidates(distinct, similarity))
 
     wanted = pairs.select(F.explode(F.array("h1", "h2")).alias("h")).distinct()
     found = shared(held.join(wanted, "h").groupBy("h").agg(F.min(place).alias("at")).select("h", "at.*"))
@@ -160,7 +172,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
 
     def stays(line, k):
         n = F.try_element_at("_gone", k)
-        return F.when(n.isNull(), F.lit(True)).otherwise(n < F.ceil(F.size(normalised(line)) / UNIT))
+        return F.when(n.isNull(), F.lit(True)).otherwise(n < n_units(normalised(line)))
 
     left = F.when(F.col("_gone").isNull(), lines).otherwise(F.filter(lines, stays))
     joined = docs.select(*kept).join(removed, key, "left").withColumn("_left", left)
@@ -177,7 +189,7 @@ def _texts(docs: DataFrame, seats: DataFrame, key: str, text: str) -> DataFrame:
     wanted = seats.select(F.col(key).alias("_k"), "line", "unit", "h")
     return (
         docs.select(F.col(key), F.col(text)).join(wanted, F.col(key) == F.col("_k"))
-        .select("h", "unit", normalised(F.get(F.split(F.col(text), "\n"), F.col("line"))).alias("_w"))
-        .select("h", F.array_join(F.slice("_w", F.col("unit") * UNIT + 1, F.lit(UNIT)), " ").alias("norm"))
+        .select("h", "unit", normalised(F.get(F.split(F.col(text), "\n"), F.col("line"))).alias("_norm"))
+        .select("h", F.get(cut(F.col("_norm")), F.col("unit")).alias("norm"))
         .groupBy("h").agg(F.max("norm").alias("norm"))
     )
