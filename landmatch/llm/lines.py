@@ -1,4 +1,4 @@
-"""Fuzzy line dedup, with DataFrame functions only.
+"""Fuzzy line dedup, with DataFrame functions but for the edit distances, which Arrow batches of pairs verify.
 
 Lines are normalised (lower case, words split at ASCII punctuation and white space) and get a SimHash
 of 64 bits over their words. Equal lines fall together by their hash. Different lines meet where two
@@ -20,8 +20,12 @@ they carry an output's name. Lines are told apart by a 64-bit hash.
 from __future__ import annotations
 
 import itertools
+import math
+import os
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +35,6 @@ from landmatch.llm.components import components
 UNIT = 127
 MAX_BITS = 3
 SIMILARITY = 0.8
-#: Edit distance that is tried first.
-NARROW = 16
 #: First and last bit of the five blocks.
 BLOCKS = ((0, 13), (13, 26), (26, 39), (39, 52), (52, 64))
 #: A list of this many line places at most is broadcast; a longer one is joined by a shuffle.
@@ -115,29 +117,62 @@ def candidates(distinct: DataFrame, similarity: float) -> DataFrame:
     return one.join(two, near).select(F.col("one.h").alias("h1"), F.col("two.h").alias("h2"))
 
 
-def similar(a: str, b: str, least: float) -> Column:
-    """Edit similarity 1 - distance / longer length of at least ``least``; a narrow band is tried before the whole one."""
-    most = f"cast(floor((1 - {least}) * greatest(length({a}), length({b})) + 1e-9) as int)"
-    wide = f"({most} > {NARROW} and levenshtein({a}, {b}, {most}) >= 0)"
-    return F.expr(f"abs(length({a}) - length({b})) <= {most} and (levenshtein({a}, {b}, least({NARROW}, {most})) >= 0 or {wide})")
+def within(a: str, b: str, most: int) -> bool:
+    """Whether the edit distance is at most ``most``.
+
+    What both begin or end with is set aside. Of the rest, one bit per character of ``a`` holds whether the distance
+    rises (up) or falls (down) from one row to the next, so a column of the distance table is a few operations on integers.
+    """
+    if abs(len(a) - len(b)) > most:
+        return False
+    start = len(os.path.commonprefix([a, b]))
+    a, b = a[start:], b[start:]
+    end = len(os.path.commonprefix([a[::-1], b[::-1]]))
+    a, b = a[: len(a) - end], b[: len(b) - end]
+    if max(len(a), len(b)) <= most:
+        return True
+    where: dict[str, int] = {}
+    for k, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << k
+    full = (1 << len(a)) - 1
+    up, down, find = full, 0, where.get
+    for c in b:
+        same = find(c, 0)
+        across = (((same & up) + up) ^ up) | same
+        rise = (down | (full & ~(across | up))) << 1 | 1
+        fall = (up & across) << 1
+        level = same | down
+        up = (fall | ~(level | rise)) & full
+        down = rise & level & full
+    return len(b) + up.bit_count() - down.bit_count() <= most
+
+
+def verified(pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs, without their texts a and b, whose edit similarity 1 - distance / longer length is large enough."""
+    names = [c for c in pairs.columns if c not in ("a", "b")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)
+            near = [within(a, b, math.floor((1 - similarity) * max(len(a), len(b)) + 1e-9)) for a, b in texts]
+            yield batch.select(names).filter(pa.array(near, pa.bool_()))
+
+    return pairs.select(*names, "a", "b").mapInArrow(run, pairs.select(*names).schema)
 
 
 def grouped(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """(h, root) of every line in pairs. Each line is first compared with its smallest partner; after that only pairs of lines that are not in one group yet."""
 
-    def verified(some: DataFrame) -> DataFrame:
-        return (
-            some.join(texts.select(F.col("h").alias("h1"), F.col("norm").alias("a")), "h1")
-            .join(texts.select(F.col("h").alias("h2"), F.col("norm").alias("b")), "h2")
-            .where(similar("a", "b", similarity))
-        )
+    def linked(some: DataFrame) -> DataFrame:
+        one, two = (texts.select(F.col("h").alias(f"h{k}"), F.col("norm").alias(c)) for k, c in ((1, "a"), (2, "b")))
+        return verified(some.join(one, "h1").join(two, "h2"), similarity)
 
-    first = components(shared(verified(pairs.groupBy("h2").agg(F.min("h1").alias("h1"))).select(F.col("h1").alias("a"), F.col("h2").alias("b"))))
+    first = components(shared(linked(pairs.groupBy("h2").agg(F.min("h1").alias("h1"))).select(F.col("h1").alias("a"), F.col("h2").alias("b"))))
     members = pairs.select(F.explode(F.array("h1", "h2")).alias("h")).distinct()
     held = shared(members.join(first, members.h == first.node, "left").select("h", F.coalesce("root", "h").alias("root")))
     of = lambda k: held.select(F.col("h").alias(f"h{k}"), F.col("root").alias(f"r{k}"))
     apart = pairs.join(of(1), "h1").join(of(2), "h2").where("r1 <> r2")
-    links = verified(apart).select(F.least("r1", "r2").alias("a"), F.greatest("r1", "r2").alias("b")).distinct()
+    links = linked(apart).select(F.least("r1", "r2").alias("a"), F.greatest("r1", "r2").alias("b")).distinct()
     joined = components(shared(links)).select("node", F.col("root").alias("last"))
     return held.join(joined, held.root == joined.node, "left").select("h", F.coalesce("last", "root").alias("root"))
 
