@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landmatch.llm import ann, bpe, language, licenses, lines, lm, oracles, packing, quality, sharding, simhash
+from landmatch.llm import ann, bpe, language, licenses, lm, oracles, packing, quality, sharding, simhash, whole_lines
 from landmatch.llm.common import fold, table
 
 
@@ -22,7 +22,7 @@ def op2_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = whole_lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 
