@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from landmatch.functions import keys, web
-from landmatch.plans.base import query, table
+from landmatch.plans.base import query, shared, table
 from landmatch.plans.compare import CORNERS, suppliers
 
 
@@ -61,6 +61,21 @@ def table_sort_nulls_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page.select("doc_id", F.row_number().over(Window.orderBy(F.desc_nulls_last("n_chars"), "doc_id")).alias("place"))
 
 
+@query("SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC NULLS LAST, doc_id) AS place FROM documents")
+def table_sort_all_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row with its place: a range sort, numbered per partition, plus the rows of the partitions before."""
+    return placed(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), [F.desc_nulls_last("n_chars"), F.asc("doc_id")]).select("doc_id", "place")
+
+
+def placed(rows: DataFrame, order: list) -> DataFrame:
+    """rows with their place (long, from 1) in the order. The sorted rows are cut from their lineage, so that both uses see the same partitions."""
+    at = shared(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = at.groupBy("_part").agg(F.count("*").alias("n")).select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
+    numbered = at.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    return numbered.join(F.broadcast(bases), "_part").withColumn("place", F.col("_base") + F.col("_n")).select(*rows.columns, "place")
+
+
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
 def topk_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20)
