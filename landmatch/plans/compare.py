@@ -230,6 +230,29 @@ def candidates_in_shrunk_rect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("g", "key", F.array_join(F.transform("candidates", lambda c: F.concat_ws("/", c["osm_type"], c["osm_id"].cast("string"))), ",").alias("candidates"))
 
 
+@query(f"""WITH {OFFICIAL_SQL}, {SUPPLIERS_SQL}, box AS (SELECT seq % 5 AS g, min(x0) - 0.5 AS x0, min(y0) - 0.5 AS y0, max(x1) + 0.5 AS x1, max(y1) + 0.5 AS y1 FROM official GROUP BY 1)
+SELECT sid FROM sup b WHERE EXISTS (SELECT 1 FROM box a WHERE a.g = b.g AND {TOUCH_SQL})""")
+def bbox_prefilter_all_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of all official rows."""
+    return spatial.prune_by_bbox(official(spark, sf_dir).withColumn("g", F.col("seq") % 5), suppliers(spark, sf_dir), ["g"], 0.5).select("sid")
+
+
+@query(f"""WITH {OFFICIAL_SQL}, lone AS (SELECT seq % 5 AS g, key, (x0 + x1) / 2 - (x1 - x0) / 2 * 0.7 AS x0, (y0 + y1) / 2 - (y1 - y0) / 2 * 0.7 AS y0, (x0 + x1) / 2 + (x1 - x0) / 2 * 0.7 AS x1, (y0 + y1) / 2 + (y1 - y0) / 2 * 0.7 AS y1 FROM official a),
+points AS (SELECT s_suppkey % 5 AS g, s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN 'relation' ELSE 'way' END AS t, lpad(CAST(s_suppkey * 3 AS VARCHAR), 5, '0') AS canonical, CAST(s_suppkey * 13 % 110 AS DOUBLE) AS x, CAST(s_suppkey * 17 % 100 AS DOUBLE) AS y FROM supplier),
+hits AS (SELECT l.g, l.key, p.t, p.id FROM lone l JOIN points p ON l.g = p.g AND p.x BETWEEN l.x0 AND l.x1 AND p.y BETWEEN l.y0 AND l.y1
+  WHERE NOT EXISTS (SELECT 1 FROM official k WHERE k.seq % 5 = p.g AND k.key = p.canonical AND p.canonical <> l.key))
+SELECT l.g, l.key, coalesce(string_agg(t || '/' || id, ',' ORDER BY CASE t WHEN 'relation' THEN 0 ELSE 1 END, id), '') AS candidates FROM lone l LEFT JOIN hits h ON l.g = h.g AND l.key = h.key GROUP BY l.g, l.key""")
+def candidates_all_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of all official rows; a point whose key any other official row has is dropped."""
+    every = official(spark, sf_dir).withColumn("g", F.col("seq") % 5)
+    small = spatial.shrunk(*[F.col(c) for c in CORNERS])
+    rows = every.select("g", "key", *[c.alias(n) for n, c in zip(CORNERS, small, strict=True)])
+    k = F.col("sid")
+    points = suppliers(spark, sf_dir).select("g", F.when(k % 2 == 0, "relation").otherwise("way").alias("osm_type"), k.alias("osm_id"), F.lit(None).cast("string").alias("name"), keys.osm_key(k * 3, "plz-5").alias("canonical"), "x0", "y0", F.col("x0").alias("x1"), F.col("y0").alias("y1"))
+    found = spatial.candidate_points(rows, points, every, ["g"], "key", 8.0, F.lit(True))
+    return found.select("g", "key", F.array_join(F.transform("candidates", lambda c: F.concat_ws("/", c["osm_type"], c["osm_id"].cast("string"))), ",").alias("candidates"))
+
+
 @query(f"WITH {OSM_SQL} SELECT seq, key FROM osm WHERE (seq % 7 = 0 OR key NOT IN ('00001', '00002')) AND level IN ('1', '3')")
 def ignore_and_level_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every seventh row has no id: an ignore list does not touch it."""

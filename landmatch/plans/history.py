@@ -148,3 +148,9 @@ def json_props_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", F.from_json("props", "k bigint")["k"].alias("k"))
     n = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("k"), "event_id"))
     return rows.withColumn("n", n).where("n <= 3 and k > 50").select("user_id", "event_id", "k")
+
+
+@query("SELECT user_id, event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) > 50")
+def json_props_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row that passes, however many a user has."""
+    return table(spark, sf_dir, "events").select("user_id", "event_id", F.from_json("props", "k bigint")["k"].alias("k")).where("k > 50")
