@@ -3,7 +3,7 @@
 Lines are normalised (lower case, words split at ASCII punctuation and white space) and get a SimHash
 of 64 bits over their words. Equal lines fall together by their hash. Different lines meet where two
 of five blocks of the SimHash agree: fingerprints within MAX_BITS = 3 bits have at least two blocks
-untouched, so no such pair is missed. Pairs are verified by edit similarity on the normalised text,
+untouched, so no pair within 3 bits is missed; similar lines further apart are. Pairs are verified by edit similarity on the normalised text,
 verified pairs are joined into connected groups, and the first occurrence of each group (smallest
 document, then line) stays.
 
