@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from landmatch.llm import ann, language, licenses, lines, quality, registry, sharding, simhash
+from landmatch.llm import ann, language, licenses, quality, registry, sharding, simhash
 from landmatch.llm.components import components
 
 SENTENCE = "the harbour master kept a careful list of every boat that came in before the storm and counted them twice each night"
@@ -190,74 +190,6 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-# ---- lines
-
-
-def brute_lines(texts):
-    """Every pair of distinct units is compared, without blocks."""
-
-    def words_of(line):
-        return [w for w in re.split(r"[\x00-/:-@\[-`{-\x7f]+", line.lower()) if w]
-
-    def sim(words):
-        ones = Counter(b for w in words for h in [xxhash.xxh64_intdigest(w.encode(), 42)] for b in range(64) if h >> b & 1)
-        return sum(1 << b for b, n in ones.items() if 2 * n > len(words))
-
-    def distance(a, b):
-        row = np.arange(len(b) + 1)
-        codes = np.array([ord(c) for c in b])
-        for i, c in enumerate(a):
-            new = np.minimum(row[1:] + 1, row[:-1] + (codes != ord(c)))
-            new = np.concatenate([[i + 1], new])
-            row = np.minimum.accumulate(new - np.arange(len(new))) + np.arange(len(new))
-        return int(row[-1])
-
-    places = {}
-    for k in sorted(texts):
-        for i, line in enumerate((texts[k] or "").split("\n") if texts[k] is not None else []):
-            words = words_of(line)
-            for u in range(0, len(words), 127):
-                places.setdefault(tuple(words[u : u + 127]), []).append((k, i, u // 127))
-    distinct = list(places)
-    values = np.array([sim(w) for w in distinct], np.uint64)
-    groups = Groups()
-    for i in range(len(distinct)):
-        for j in np.flatnonzero(np.bitwise_count(values[i + 1 :] ^ values[i]) <= 3) + i + 1:
-            a, b = " ".join(distinct[i]), " ".join(distinct[j])
-            if distance(a, b) <= math.floor(0.2 * max(len(a), len(b)) + 1e-9):
-                groups.join(i, int(j))
-    kept = {}
-    for i, w in enumerate(distinct):
-        kept[groups.root(i)] = min(kept.get(groups.root(i), (math.inf,)), min(places[w]))
-    gone = Counter((k, line) for i, w in enumerate(distinct) for k, line, u in places[w] if (k, line, u) != kept[groups.root(i)])
-    out = {}
-    for k, t in texts.items():
-        if t is None:
-            out[k] = None
-        else:
-            out[k] = "\n".join(x for i, x in enumerate(t.split("\n")) if not words_of(x) or gone[k, i] < -(-len(words_of(x)) // 127))
-    return out
-
-
-def test_line_dedup_equals_brute_force(spark, small):
-    docs = spark.read.parquet(f"{small}/documents.parquet")
-    texts = texts_of(spark, small)
-    found = {r.doc_id: r for r in lines.dedup_lines(docs).collect()}
-    wanted = brute_lines(texts)
-    assert {k: r.text for k, r in found.items()} == wanted
-    assert sum(r.n_removed for r in found.values()) > 0
-    for k, r in found.items():
-        assert r.n_lines == (len(texts[k].split("\n")) if texts[k] is not None else 0)
-
-
-def test_line_dedup_of_odd_texts(odd):
-    found = {r.doc_id: r for r in lines.dedup_lines(odd).collect()}
-    assert {k: r.text for k, r in found.items()} == brute_lines(dict(enumerate(ODD)))
-    assert found[5].text == "" and found[11].text == "line one\n\nline two"
-    assert lines.dedup_lines(odd.limit(0)).count() == 0
-    assert "Python" not in lines.dedup_lines(odd)._jdf.queryExecution().executedPlan().toString()
-
-
 # ---- licences
 
 
