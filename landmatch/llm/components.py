@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 from landmatch.llm.common import shared
 
-MAX_ROUNDS = 60
-
 
 def stars(edges: DataFrame, large: bool) -> DataFrame:
     """Large star: larger neighbours move to the least of the neighbourhood. Small star: smaller ones do."""
@@ -30,12 +28,10 @@ def stars(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """edges: (a, b) with a < b, distinct. Returns (node, root) for every node with an edge; root is the least node of its component."""
     before = None
-    for _ in range(MAX_ROUNDS):
+    while True:
         edges = shared(stars(stars(edges, large=True), large=False))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("components did not settle")
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
