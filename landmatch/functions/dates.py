@@ -56,10 +56,20 @@ def snapshot_date(text: Column) -> Column:
     return F.when(~t.rlike("^[0-9]{8}$"), F.lit(None).cast("date")).when(year.between(1900, 2100), F.try_to_date(t, "yyyyMMdd")).otherwise(F.try_to_date(t, "ddMMyyyy"))
 
 
+def utc_text(ts: Column) -> Column:
+    """A UTC instant as YYYY-MM-DDThh:mm:ss.mmmZ, made of its fields so that the session's zone plays no part."""
+    t = ts.cast("timestamp_ntz")
+    ms = F.floor(F.extract(F.lit("SECOND"), t) * 1000).cast("int") % 1000
+    return F.when(t.isNotNull(), F.format_string("%sT%02d:%02d:%02d.%03dZ", F.to_date(t).cast("string"), F.hour(t), F.minute(t), F.second(t), ms))
+
+
 def iso_instant(text: Column) -> Column:
-    """The instant, normalised to UTC with milliseconds; a date alone is its midnight; anything else is null."""
-    t = F.trim(text)
-    return F.date_format(F.try_to_timestamp(t), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    """The instant, normalised to UTC with milliseconds; a date alone is its midnight; what names no zone is UTC; anything else is null."""
+    form = r"^(\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?)?)(?:Z|([+-])(\d{2}):?(\d{2}))?$"
+    part = lambda k: F.regexp_extract(F.trim(text), form, k)
+    minutes = F.coalesce(part(3).try_cast("int") * 60 + part(4).try_cast("int"), F.lit(0)) * F.when(part(2) == "-", -1).otherwise(1)
+    local_time = part(1).try_cast("timestamp_ntz")
+    return utc_text(local_time - F.make_dt_interval(mins=minutes))
 
 
 def refresh_decision(force: Column, exists: Column, cached_at: Column, now: Column, not_before: int = 1, zone: str = ZONE) -> Column:
@@ -77,15 +87,37 @@ def refresh_decision(force: Column, exists: Column, cached_at: Column, now: Colu
     return F.struct(reason.isin("force", "cache_missing", "cache_stale_previous_window").alias("should_download"), reason.alias("reason"))
 
 
+def age(ts: Column, now: Column) -> Column:
+    """The interval between two UTC instants. The difference of zoneless values knows no summer time."""
+    return now.cast("timestamp_ntz") - ts.cast("timestamp_ntz")
+
+
 def stale(ts: Column, now: Column, days: int) -> Column:
     """Older than the given days, by strict comparison."""
-    ms = lambda c: F.unix_millis(c.cast("timestamp"))
-    return ms(now) - ms(ts) > days * 86_400_000
+    return age(ts, now) > F.make_dt_interval(F.lit(days))
 
 
 def age_bucket(ts: Column, now: Column) -> Column:
-    """(unit, n): hours below 26, days, months from 12 full months, years beyond 13."""
-    hours = F.floor((F.unix_millis(now.cast("timestamp")) - F.unix_millis(ts.cast("timestamp"))) / 3_600_000)
-    months = F.floor(F.months_between(now, ts))
-    pick = lambda unit, n: F.struct(F.lit(unit).alias("unit"), n.cast("long").alias("n"))
-    return F.when(hours < 26, pick("hours", hours)).when(months > 13, pick("years", F.floor(months / 12))).when(months >= 12, pick("months", months)).otherwise(pick("days", F.floor(hours / 24)))
+    """(unit, n): hours from 1 to 25, months from 12 to 13 full ones, years beyond; else the distance, in minutes below an hour or ahead of now, in days otherwise."""
+    gap = age(ts, now)
+    part = lambda unit: F.extract(F.lit(unit), gap)
+    minutes = (part("DAY") * 24 + part("HOUR")) * 60 + part("MINUTE")
+    hours = F.floor(minutes / 60)
+    t, n = ts.cast("timestamp_ntz"), now.cast("timestamp_ntz")
+    clock = lambda c: F.struct(F.dayofmonth(c), F.hour(c), F.minute(c), F.extract(F.lit("SECOND"), c))
+    months = (F.year(n) - F.year(t)) * 12 + F.month(n) - F.month(t) - F.when(clock(n) < clock(t), 1).otherwise(0)
+    pick = lambda unit, v: F.struct(F.lit(unit).alias("unit"), v.cast("long").alias("n"))
+    ahead = t > n
+    return (
+        F.when(ahead | (hours < 1), pick("minutes", F.abs(minutes)))
+        .when(hours < 26, pick("hours", hours))
+        .when(months > 13, pick("years", F.floor(months / 12)))
+        .when(months >= 12, pick("months", months))
+        .otherwise(pick("days", F.floor(hours / 24)))
+    )
+
+
+def extract_name(text: Column) -> Column:
+    """The dated name of a country extract from its replication timestamp, in UTC."""
+    at = iso_instant(text)
+    return F.when(at.isNotNull(), F.concat(F.lit("germany-"), F.substring(at, 3, 2), F.substring(at, 6, 2), F.substring(at, 9, 2), F.lit(".osm.pbf")))

@@ -12,7 +12,7 @@ def group_by_key(features: DataFrame, by: tuple[str, ...] = ("area", "key"), uni
     """One row per key: the union of its geometries, feature ids in order (of rows with a geometry), first properties.
 
     features: by.., seq (input order), geom (WKB or null), feature_id, props. Null and blank keys go. The union
-    is taken of distinct pieces of at most SALT parts first, so that a hot key is not one task's work.
+    is taken in sixteen parts of a key first, so that a hot key's polygons are not one task's work.
     """
     kept = features.where(F.col(by[-1]).isNotNull() & (F.col(by[-1]) != ""))
     ids = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col("geom").isNotNull(), F.struct("seq", "feature_id")))), lambda x: x.feature_id))
@@ -30,12 +30,12 @@ def first_wins(rows: DataFrame, by: list[str], value: str, order: str, where: Co
     return kept.groupBy(*by).agg(F.min_by(value, order).alias(value))
 
 
-def full_outer(official: DataFrame, osm: DataFrame, by: list[str], geometry: str = "geom") -> DataFrame:
-    """All keys of either side with both geometries and the category.
+def full_outer(official: DataFrame, osm: DataFrame, by: list[str], geometry: str = "geom", carry: list[str] | None = None) -> DataFrame:
+    """All keys of either side with both geometries, the category and the official side's columns ``carry``.
 
     A key is matched only where both geometries are there; a key of the official side is official_only otherwise.
     """
-    left = official.select(*by, F.col(geometry).alias("official_geom"), F.lit(True).alias("_official"))
+    left = official.select(*by, *(carry or []), F.col(geometry).alias("official_geom"), F.lit(True).alias("_official"))
     right = osm.select(*by, F.col(geometry).alias("osm_geom"))
     category = (
         F.when(F.col("official_geom").isNotNull() & F.col("osm_geom").isNotNull(), "matched")

@@ -26,7 +26,11 @@ def first_found(rows: DataFrame, by: list[str], priority: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.min_by(value, priority).alias("v")).select(*by, "v.*")
 
 
-def click_decision(hits: DataFrame, by: list[str]) -> DataFrame:
-    """A click on one feature opens it, one on several lists them, one on none does nothing."""
-    n = F.count_distinct("feature_key")
-    return hits.groupBy(*by).agg(F.when(n == 0, "none").when(n == 1, "open").otherwise("choose").alias("action"), F.min("feature_key").alias("first_key"))
+def click_decision(hits: DataFrame, by: list[str], order: str) -> DataFrame:
+    """(by.., action, first_key): what a click on features (by.., feature_key, category) does, in draw order.
+
+    The first one drawn is opened, unless an official-only and an unmatched one lie there together: then the user chooses.
+    """
+    several = F.count_distinct("feature_key") > 1
+    both = F.bool_or(F.col("category") == "official_only") & F.bool_or(F.col("category") == "unmatched_osm")
+    return hits.groupBy(*by).agg(F.when(several & both, "choose").otherwise("open").alias("action"), F.min_by("feature_key", order).alias("first_key"))

@@ -1,8 +1,9 @@
 """Bounding boxes, grid joins, the scope filter and candidate points.
 
 Range conditions alone would plan a nested loop over all pairs. Boxes and points are therefore sent to the cells of
-a grid, which gives the join an equality; a box that covers many cells is sent to a coarser level, so that no row
-becomes more than CELLS rows. A pair that meets in several cells counts once.
+a grid, which gives the join an equality. A box belongs to the finest level at which it covers at most two cells
+either way, and looks for others at its own and the coarser levels: at most 4 * LEVELS rows, whatever its size.
+A pair counts in one cell only, that of the lower left corner of the overlap.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from landmatch.functions.geometry import call
 # Overlap that counts as substantive, and how candidates' polygons shrink.
 LEAST_AREA_M2, LEAST_RATIO = 100_000.0, 0.08
 SHRINK = 0.7
-LEVELS = 8
+LEVELS = 20
 
 
 def box(prefix: str = "") -> list[Column]:
@@ -47,7 +48,7 @@ def prune_by_bbox(official: DataFrame, osm: DataFrame, by: list[str], buffer: fl
 
 
 def level_of(x0: Column, y0: Column, x1: Column, y1: Column, cell: float) -> Column:
-    """Smallest level (cells of cell * 4 ** level) at which the box covers at most two cells either way; the last level takes the rest."""
+    """Smallest level (cells of cell * 4 ** level) at which the box covers at most two cells either way; LEVELS is beyond any map."""
     wide = F.greatest(x1 - x0, y1 - y0)
     level = F.lit(LEVELS - 1)
     for k in range(LEVELS - 2, -1, -1):
@@ -62,19 +63,34 @@ def cells(x0: Column, y0: Column, x1: Column, y1: Column, level: Column, cell: f
     return F.flatten(F.transform(span(x0, x1), lambda i: F.transform(span(y0, y1), lambda j: F.struct(level.alias("level"), i.alias("i"), j.alias("j")))))
 
 
-def grid_pairs(left: DataFrame, right: DataFrame, by: list[str], cell: float, left_id: str, right_id: str) -> DataFrame:
+def grid_pairs(left: DataFrame, right: DataFrame, by: list[str], cell: float) -> DataFrame:
     """Pairs of rows of equal ``by`` whose boxes (x0, y0, x1, y1) overlap, each once; the right side's columns get the prefix r_.
 
-    A right row is stored once per cell of its own level; a left row asks at every level.
+    A pair meets at the coarser of its two levels. Levels that the other side has no box of are not looked at: at most
+    LEVELS values are sent round for that.
     """
     corner = [F.col(c) for c in ("x0", "y0", "x1", "y1")]
-    stored = right.withColumn("_cell", F.explode(cells(*corner, level_of(*corner, cell), cell)))
-    stored = stored.select(*[F.col(c).alias(f"r_{c}") for c in right.columns], "_cell")
-    # a left box of up to a coarse cell's width covers few cells at its own level and above; below it asks only where right rows exist
-    asked = left.withColumn("_cell", F.explode(F.flatten(F.array(*[cells(*corner, F.lit(k), cell) for k in range(LEVELS)]))))
-    met = asked.join(stored, [*[asked[c] == stored[f"r_{c}"] for c in by], asked["_cell"] == stored["_cell"]])
+    own = level_of(*corner, cell)
+    renamed = lambda df: df.select(*[F.col(c).alias(f"r_{c}") for c in right.columns], "_cell")
+
+    def stored(df: DataFrame) -> DataFrame:
+        return df.withColumn("_cell", F.explode(cells(*corner, own, cell)))
+
+    def asked(df: DataFrame, other: DataFrame, above: int) -> DataFrame:
+        levels = other.select(own.alias("_level")).distinct()
+        lifted = df.withColumn("_level", F.explode(F.when(own + above < LEVELS, F.sequence(own + above, F.lit(LEVELS - 1)))))
+        there = lifted.join(F.broadcast(levels), "_level", "left_semi")
+        return there.withColumn("_cell", F.explode(cells(*corner, F.col("_level"), cell))).drop("_level")
+
+    met = []
+    for one, two in ((asked(left, right, 0), stored(right)), (stored(left), asked(right, left, 1))):
+        a, b = one.alias("a"), renamed(two).alias("b")
+        met.append(a.join(b, [*[F.col(f"a.{c}") == F.col(f"b.r_{c}") for c in by], F.col("a._cell") == F.col("b._cell")]).select("a.*", *[f"b.r_{c}" for c in right.columns]))
+    pairs = met[0].unionByName(met[1])
+    size = F.lit(cell) * F.pow(F.lit(4.0), F.col("_cell.level"))
     overlap = (F.col("x0") <= F.col("r_x1")) & (F.col("r_x0") <= F.col("x1")) & (F.col("y0") <= F.col("r_y1")) & (F.col("r_y0") <= F.col("y1"))
-    return met.where(overlap).drop(asked["_cell"]).drop(stored["_cell"]).dropDuplicates([*by, left_id, f"r_{right_id}"])
+    home = (F.floor(F.greatest("x0", "r_x0") / size) == F.col("_cell.i")) & (F.floor(F.greatest("y0", "r_y0") / size) == F.col("_cell.j"))
+    return pairs.where(overlap & home).drop("_cell")
 
 
 def scope_condition(inter: Column, osm_area: Column, centroid_inside: Column, intersects: Column) -> Column:
@@ -83,20 +99,20 @@ def scope_condition(inter: Column, osm_area: Column, centroid_inside: Column, in
     return intersects & (centroid_inside | substantive)
 
 
-def scope_semi_join(osm: DataFrame, official: DataFrame, by: list[str], cell: float, osm_id: str, official_id: str, keep: Column) -> DataFrame:
+def scope_semi_join(osm: DataFrame, official: DataFrame, by: list[str], cell: float, osm_id: str, keep: Column) -> DataFrame:
     """osm rows for which some overlapping official row (columns r_..) satisfies ``keep``; each once."""
-    pairs = grid_pairs(osm, official, by, cell, osm_id, official_id).where(keep)
+    pairs = grid_pairs(osm, official, by, cell).where(keep)
     return osm.join(pairs.select(*by, osm_id).distinct(), [*by, osm_id], "left_semi")
 
 
-def polygon_scope(osm: DataFrame, official: DataFrame, by: list[str], cell: float, osm_id: str, official_id: str) -> DataFrame:
+def polygon_scope(osm: DataFrame, official: DataFrame, by: list[str], cell: float, osm_id: str) -> DataFrame:
     """The scope filter on WKB polygons in longitude and latitude; boxes come first, then cheap predicates, then the overlap's area."""
     lap = call("Difference", F.col("geom"), call("Difference", F.col("geom"), F.col("r_geom")))
     area = F.coalesce(call("GeodesicArea", lap), F.lit(0.0))
     inside = call("Covers", F.col("r_geom"), call("Centroid", F.col("geom")))
     touching = call("Intersects", F.col("geom"), F.col("r_geom"))
     keep = F.when(~touching, F.lit(False)).when(inside, F.lit(True)).otherwise(scope_condition(area, call("GeodesicArea", F.col("geom")), F.lit(False), F.lit(True)))
-    return scope_semi_join(osm, official, by, cell, osm_id, official_id, keep)
+    return scope_semi_join(osm, official, by, cell, osm_id, keep)
 
 
 def shrunk(x0: Column, y0: Column, x1: Column, y1: Column, factor: float = SHRINK) -> list[Column]:
@@ -106,19 +122,39 @@ def shrunk(x0: Column, y0: Column, x1: Column, y1: Column, factor: float = SHRIN
     return [cx - (x1 - x0) / 2 * f, cy - (y1 - y0) / 2 * f, cx + (x1 - x0) / 2 * f, cy + (y1 - y0) / 2 * f]
 
 
-def candidate_points(rows: DataFrame, points: DataFrame, official_keys: DataFrame, by: list[str], key: str, cell: float, covers: Column) -> DataFrame:
+def eligible_points(points: DataFrame, levels: list[str] | None = None, ignored: list[str] | None = None, box: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """Points with an object's type and id that may be candidates. points: osm_type, osm_id, admin_level, x0, y0.
+
+    The ignore list holds relation ids and leaves ways alone; with a list of levels, points without a level go; the
+    box is closed.
+    """
+    kept = points.where(F.col("osm_type").isNotNull() & F.col("osm_id").isNotNull())
+    if ignored:
+        kept = kept.where(~((F.col("osm_type") == "relation") & F.col("osm_id").cast("string").isin(ignored)))
+    if levels:
+        kept = kept.where(F.coalesce(F.trim("admin_level").isin(levels), F.lit(False)))
+    if box:
+        kept = kept.where(F.col("x0").between(box[0], box[2]) & F.col("y0").between(box[1], box[3]))
+    return kept
+
+
+def candidate_points(rows: DataFrame, points: DataFrame, official_keys: DataFrame, by: list[str], key: str, cell: float, covers: Column, fields: tuple[str, ...] = ("name",)) -> DataFrame:
     """(by.., key, candidates): points inside each row, relations first, then by id; rows without a hit have an empty list.
 
-    rows: by.., key, x0.. (box of the shrunk polygon); points: by.., osm_type, osm_id, name, canonical, x0.. (a box of no size).
-    A point whose own key belongs to another official row is dropped; one with the row's own key stays.
+    rows: by.., key, x0.. (box of the shrunk polygon); points: by.., osm_type, osm_id, canonical, x0.. (a box of no size)
+    and the text columns ``fields`` that candidates carry, blanks as null. A point whose own key belongs to another
+    official row is dropped; one with the row's own key stays.
     """
-    hits = grid_pairs(rows, points.withColumn("_ref", F.concat_ws("/", "osm_type", "osm_id")), by, cell, key, "_ref").where(covers)
+    hits = grid_pairs(rows, points, by, cell).where(covers)
     taken = official_keys.select(*[F.col(c).alias(f"k_{c}") for c in by], F.col(key).alias("k_key"))
     foreign = [*[F.col(c) == F.col(f"k_{c}") for c in by], F.col("r_canonical") == F.col("k_key"), F.col("r_canonical") != F.col(key)]
     free = hits.join(taken, foreign, "left_anti")
     rank = F.when(F.col("r_osm_type") == "relation", 0).otherwise(1)
-    listed = free.groupBy(*by, key).agg(F.array_sort(F.collect_set(F.struct(rank.alias("rank"), F.col("r_osm_id").alias("osm_id"), F.col("r_osm_type").alias("osm_type"), F.col("r_name").alias("name")))).alias("candidates"))
-    empty = F.array().cast("array<struct<rank:int,osm_id:bigint,osm_type:string,name:string>>")
+    carried = [F.nullif(F.trim(F.col(f"r_{c}")), F.lit("")).alias(c) for c in fields]
+    # of points of one object, one is listed
+    one = free.groupBy(*by, key, rank.alias("_rank"), F.col("r_osm_id").alias("_id")).agg(F.min(F.struct(rank.alias("rank"), F.col("r_osm_id").alias("osm_id"), F.col("r_osm_type").alias("osm_type"), *carried)).alias("_c"))
+    listed = one.groupBy(*by, key).agg(F.array_sort(F.collect_list("_c")).alias("candidates"))
+    empty = F.array().cast(f"array<struct<rank:int,osm_id:bigint,osm_type:string,{','.join(f'{c}:string' for c in fields)}>>")
     return rows.select(*by, key).join(listed, [*by, key], "left").withColumn("candidates", F.coalesce("candidates", empty))
 
 

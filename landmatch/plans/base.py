@@ -52,14 +52,14 @@ def official(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     return table(spark, sf_dir, "customer").select(
         keys.official_key(k, "plz-5").alias("key"), F.col("c_mktsegment").alias("area"), k.alias("seq"), (k % 11 != 0).alias("has"),
-        (k % 97).cast("double").alias("x0"), (k % 89).cast("double").alias("y0"), (k % 97 + 10 + k % 7).cast("double").alias("x1"), (k % 89 + 10 + k % 5).cast("double").alias("y1"),
+        (k % 97).cast("double").alias("x0"), (k % 71).cast("double").alias("y0"), (k % 97 + 10 + k % 7).cast("double").alias("x1"), (k % 71 + 10 + k % 5).cast("double").alias("y1"),
     )
 
 
 OFFICIAL_SQL = """official AS (
   SELECT lpad(CAST(c_custkey AS VARCHAR), 5, '0') AS key, c_mktsegment AS area, c_custkey AS seq, c_custkey % 11 <> 0 AS has,
-    CAST(c_custkey % 97 AS DOUBLE) AS x0, CAST(c_custkey % 89 AS DOUBLE) AS y0,
-    CAST(c_custkey % 97 + 10 + c_custkey % 7 AS DOUBLE) AS x1, CAST(c_custkey % 89 + 10 + c_custkey % 5 AS DOUBLE) AS y1
+    CAST(c_custkey % 97 AS DOUBLE) AS x0, CAST(c_custkey % 71 AS DOUBLE) AS y0,
+    CAST(c_custkey % 97 + 10 + c_custkey % 7 AS DOUBLE) AS x1, CAST(c_custkey % 71 + 10 + c_custkey % 5 AS DOUBLE) AS y1
   FROM customer)"""
 
 
@@ -68,12 +68,12 @@ def osm(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, n = F.col("o_custkey"), F.col("o_orderkey")
     return table(spark, sf_dir, "orders").select(
         keys.osm_key(k, "plz-5").alias("key"), n.alias("seq"), F.substring("o_orderpriority", 1, 1).alias("level"),
-        (k % 97 + n % 3).cast("double").alias("x0"), (k % 89 - n % 2).cast("double").alias("y0"), (k % 97 + 10 + n % 4).cast("double").alias("x1"), (k % 89 + 9 + n % 5).cast("double").alias("y1"),
+        (k % 97 + n % 3).cast("double").alias("x0"), (k % 71 - n % 2).cast("double").alias("y0"), (k % 97 + 10 + n % 4).cast("double").alias("x1"), (k % 71 + 9 + n % 5).cast("double").alias("y1"),
     )
 
 
 OSM_SQL = """osm AS (
   SELECT lpad(CAST(o_custkey AS VARCHAR), 5, '0') AS key, o_orderkey AS seq, substr(o_orderpriority, 1, 1) AS level,
-    CAST(o_custkey % 97 + o_orderkey % 3 AS DOUBLE) AS x0, CAST(o_custkey % 89 - o_orderkey % 2 AS DOUBLE) AS y0,
-    CAST(o_custkey % 97 + 10 + o_orderkey % 4 AS DOUBLE) AS x1, CAST(o_custkey % 89 + 9 + o_orderkey % 5 AS DOUBLE) AS y1
+    CAST(o_custkey % 97 + o_orderkey % 3 AS DOUBLE) AS x0, CAST(o_custkey % 71 - o_orderkey % 2 AS DOUBLE) AS y0,
+    CAST(o_custkey % 97 + 10 + o_orderkey % 4 AS DOUBLE) AS x1, CAST(o_custkey % 71 + 9 + o_orderkey % 5 AS DOUBLE) AS y1
   FROM orders)"""

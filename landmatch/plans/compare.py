@@ -34,7 +34,7 @@ def sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     box = F.struct(*[F.col(c).alias(f"a_{c}") for c in CORNERS])
     left = one.groupBy("key").agg(F.min_by("area", "seq").alias("area"), F.min_by(F.when(F.col("has"), box), "seq").alias("geom"))
     right = boxes(osm(spark, sf_dir), "b_").select("key", F.struct(*[f"b_{c}" for c in CORNERS]).alias("geom"))
-    both = reconcile.full_outer(left, right, ["key"]).join(left.select("key", "area"), "key", "left")
+    both = reconcile.full_outer(left, right, ["key"], carry=["area"])
     return both.select("key", "area", "category", "official_geom.*", "osm_geom.*")
 
 
@@ -191,20 +191,13 @@ def stem_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
-    return table(spark, sf_dir, "supplier").select(k.alias("sid"), (k % 5).alias("g"), (k * 13 % 110).cast("double").alias("x0"), (k * 17 % 100).cast("double").alias("y0"), (k * 13 % 110 + 4 + k % 9).cast("double").alias("x1"), (k * 17 % 100 + 4 + k % 6).cast("double").alias("y1"))
+    return table(spark, sf_dir, "supplier").select(k.alias("sid"), (k % 5).alias("g"), (k * 13 % 110).cast("double").alias("x0"), (k * 17 % 79).cast("double").alias("y0"), (k * 13 % 110 + 4 + k % 9).cast("double").alias("x1"), (k * 17 % 79 + 4 + k % 6).cast("double").alias("y1"))
 
 
-SUPPLIERS_SQL = """sup AS (SELECT s_suppkey AS sid, s_suppkey % 5 AS g, CAST(s_suppkey * 13 % 110 AS DOUBLE) AS x0, CAST(s_suppkey * 17 % 100 AS DOUBLE) AS y0, CAST(s_suppkey * 13 % 110 + 4 + s_suppkey % 9 AS DOUBLE) AS x1, CAST(s_suppkey * 17 % 100 + 4 + s_suppkey % 6 AS DOUBLE) AS y1 FROM supplier)"""
+SUPPLIERS_SQL = """sup AS (SELECT s_suppkey AS sid, s_suppkey % 5 AS g, CAST(s_suppkey * 13 % 110 AS DOUBLE) AS x0, CAST(s_suppkey * 17 % 79 AS DOUBLE) AS y0, CAST(s_suppkey * 13 % 110 + 4 + s_suppkey % 9 AS DOUBLE) AS x1, CAST(s_suppkey * 17 % 79 + 4 + s_suppkey % 6 AS DOUBLE) AS y1 FROM supplier)"""
 TOUCH_SQL = "a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1"
 
 
-@query(f"""WITH {OFFICIAL_SQL}, {SUPPLIERS_SQL}, box AS (SELECT seq % 5 AS g, min(x0) - 0.5 AS x0, min(y0) - 0.5 AS y0, max(x1) + 0.5 AS x1, max(y1) + 0.5 AS y1 FROM official WHERE seq < 40 GROUP BY 1)
-SELECT sid FROM sup b WHERE EXISTS (SELECT 1 FROM box a WHERE a.g = b.g AND {TOUCH_SQL})""")
-def bbox_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    few = official(spark, sf_dir).where("seq < 40").withColumn("g", F.col("seq") % 5)
-    return spatial.prune_by_bbox(few, suppliers(spark, sf_dir), ["g"], 0.5).select("sid")
-
-
 @query(f"""WITH {OFFICIAL_SQL}, {SUPPLIERS_SQL} SELECT sid FROM sup b WHERE EXISTS (SELECT 1 FROM official a WHERE a.seq % 5 = b.g AND {TOUCH_SQL} AND (
   ((b.x0 + b.x1) / 2 BETWEEN a.x0 AND a.x1 AND (b.y0 + b.y1) / 2 BETWEEN a.y0 AND a.y1) OR ({INTER_SQL} * 5000 >= 100000 AND {INTER_SQL} / ({AREA_SQL[1]}) >= 0.08)))""")
 def scope_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,37 +205,22 @@ def scope_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
     inside = cx.between(F.col("r_x0"), F.col("r_x1")) & cy.between(F.col("r_y0"), F.col("r_y1"))
     keep = spatial.scope_condition(lap("", "r_") * 5000, area("") * 5000, inside, F.lit(True))
-    return spatial.scope_semi_join(suppliers(spark, sf_dir), areas, ["g"], 8.0, "sid", "seq", keep).select("sid")
-
-
-@query(f"""WITH {OFFICIAL_SQL}, lone AS (SELECT seq % 5 AS g, key, (x0 + x1) / 2 - (x1 - x0) / 2 * 0.7 AS x0, (y0 + y1) / 2 - (y1 - y0) / 2 * 0.7 AS y0, (x0 + x1) / 2 + (x1 - x0) / 2 * 0.7 AS x1, (y0 + y1) / 2 + (y1 - y0) / 2 * 0.7 AS y1 FROM official a WHERE seq % 3 = 0),
-points AS (SELECT s_suppkey % 5 AS g, s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN 'relation' ELSE 'way' END AS t, lpad(CAST(s_suppkey * 3 AS VARCHAR), 5, '0') AS canonical, CAST(s_suppkey * 13 % 110 AS DOUBLE) AS x, CAST(s_suppkey * 17 % 100 AS DOUBLE) AS y FROM supplier),
-hits AS (SELECT l.g, l.key, p.t, p.id FROM lone l JOIN points p ON l.g = p.g AND p.x BETWEEN l.x0 AND l.x1 AND p.y BETWEEN l.y0 AND l.y1
-  WHERE NOT EXISTS (SELECT 1 FROM lone k WHERE k.g = p.g AND k.key = p.canonical AND p.canonical <> l.key))
-SELECT l.g, l.key, coalesce(string_agg(t || '/' || id, ',' ORDER BY CASE t WHEN 'relation' THEN 0 ELSE 1 END, id), '') AS candidates FROM lone l LEFT JOIN hits h ON l.g = h.g AND l.key = h.key GROUP BY l.g, l.key""")
-def candidates_in_shrunk_rect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lone = official(spark, sf_dir).where("seq % 3 = 0").withColumn("g", F.col("seq") % 5)
-    small = spatial.shrunk(*[F.col(c) for c in CORNERS])
-    rows = lone.select("g", "key", *[c.alias(n) for n, c in zip(CORNERS, small, strict=True)])
-    k = F.col("sid")
-    points = suppliers(spark, sf_dir).select("g", F.when(k % 2 == 0, "relation").otherwise("way").alias("osm_type"), k.alias("osm_id"), F.lit(None).cast("string").alias("name"), keys.osm_key(k * 3, "plz-5").alias("canonical"), "x0", "y0", F.col("x0").alias("x1"), F.col("y0").alias("y1"))
-    found = spatial.candidate_points(rows, points, lone, ["g"], "key", 8.0, F.lit(True))
-    return found.select("g", "key", F.array_join(F.transform("candidates", lambda c: F.concat_ws("/", c["osm_type"], c["osm_id"].cast("string"))), ",").alias("candidates"))
+    return spatial.scope_semi_join(suppliers(spark, sf_dir), areas, ["g"], 8.0, "sid", keep).select("sid")
 
 
 @query(f"""WITH {OFFICIAL_SQL}, {SUPPLIERS_SQL}, box AS (SELECT seq % 5 AS g, min(x0) - 0.5 AS x0, min(y0) - 0.5 AS y0, max(x1) + 0.5 AS x1, max(y1) + 0.5 AS y1 FROM official GROUP BY 1)
 SELECT sid FROM sup b WHERE EXISTS (SELECT 1 FROM box a WHERE a.g = b.g AND {TOUCH_SQL})""")
-def bbox_prefilter_all_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bbox_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes of all official rows."""
     return spatial.prune_by_bbox(official(spark, sf_dir).withColumn("g", F.col("seq") % 5), suppliers(spark, sf_dir), ["g"], 0.5).select("sid")
 
 
 @query(f"""WITH {OFFICIAL_SQL}, lone AS (SELECT seq % 5 AS g, key, (x0 + x1) / 2 - (x1 - x0) / 2 * 0.7 AS x0, (y0 + y1) / 2 - (y1 - y0) / 2 * 0.7 AS y0, (x0 + x1) / 2 + (x1 - x0) / 2 * 0.7 AS x1, (y0 + y1) / 2 + (y1 - y0) / 2 * 0.7 AS y1 FROM official a),
-points AS (SELECT s_suppkey % 5 AS g, s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN 'relation' ELSE 'way' END AS t, lpad(CAST(s_suppkey * 3 AS VARCHAR), 5, '0') AS canonical, CAST(s_suppkey * 13 % 110 AS DOUBLE) AS x, CAST(s_suppkey * 17 % 100 AS DOUBLE) AS y FROM supplier),
+points AS (SELECT s_suppkey % 5 AS g, s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN 'relation' ELSE 'way' END AS t, lpad(CAST(s_suppkey * 3 AS VARCHAR), 5, '0') AS canonical, CAST(s_suppkey * 13 % 110 AS DOUBLE) AS x, CAST(s_suppkey * 17 % 79 AS DOUBLE) AS y FROM supplier),
 hits AS (SELECT l.g, l.key, p.t, p.id FROM lone l JOIN points p ON l.g = p.g AND p.x BETWEEN l.x0 AND l.x1 AND p.y BETWEEN l.y0 AND l.y1
   WHERE NOT EXISTS (SELECT 1 FROM official k WHERE k.seq % 5 = p.g AND k.key = p.canonical AND p.canonical <> l.key))
 SELECT l.g, l.key, coalesce(string_agg(t || '/' || id, ',' ORDER BY CASE t WHEN 'relation' THEN 0 ELSE 1 END, id), '') AS candidates FROM lone l LEFT JOIN hits h ON l.g = h.g AND l.key = h.key GROUP BY l.g, l.key""")
-def candidates_all_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def candidates_in_shrunk_rect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of all official rows; a point whose key any other official row has is dropped."""
     every = official(spark, sf_dir).withColumn("g", F.col("seq") % 5)
     small = spatial.shrunk(*[F.col(c) for c in CORNERS])
@@ -298,8 +276,16 @@ def poly_union_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("area", F.col("key").cast("bigint").alias("k"), F.round(geometry.call("Area", F.col("geom")), 6).cast("bigint").alias("area_m2"), F.size("feature_ids").cast("bigint").alias("parts"))
 
 
-@query(f"{SIDES_SQL} SELECT key, true AS ordered FROM matched")
+@query(f"""{SIDES_SQL},
+corners AS (SELECT a.key, a.x0 AS ax0, a.y0 AS ay0, a.x1 AS ax1, a.y1 AS ay1, b.x0 AS bx0, b.y0 AS by0, b.x1 AS bx1, b.y1 AS by1 FROM a JOIN b ON a.key = b.key WHERE a.has),
+vertices AS (SELECT key, 'a' AS side, unnest([ax0, ax0, ax1, ax1]) AS px, unnest([ay0, ay1, ay0, ay1]) AS py, bx0 AS x0, by0 AS y0, bx1 AS x1, by1 AS y1 FROM corners
+  UNION ALL SELECT key, 'b', unnest([bx0, bx0, bx1, bx1]), unnest([by0, by1, by0, by1]), ax0, ay0, ax1, ay1 FROM corners),
+distances AS (SELECT key, side, sqrt(pow(least(abs(px - x0), abs(px - x1)), 2) + pow(least(abs(py - y0), abs(py - y1)), 2)) AS to_vertex,
+  CASE WHEN px BETWEEN x0 AND x1 AND py BETWEEN y0 AND y1 THEN least(px - x0, x1 - px, py - y0, y1 - py) ELSE sqrt(pow(greatest(x0 - px, 0, px - x1), 2) + pow(greatest(y0 - py, 0, py - y1), 2)) END AS to_edge FROM vertices),
+directed AS (SELECT key, side, max(to_vertex) AS to_vertex, quantile_cont(to_edge, 0.95) AS to_edge FROM distances GROUP BY key, side),
+whole AS (SELECT key, max(to_vertex) AS h, max(to_edge) AS p FROM directed GROUP BY key)
+SELECT w.key, round(h, 6) AS hausdorff_m, round(p, 6) AS hausdorff_p95_m, round(p / (2 * (ax1 - ax0 + ay1 - ay0)), 6) AS hausdorff_norm FROM whole w JOIN corners c ON w.key = c.key""")
 def hausdorff_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boundary distances of all matched rows: the 95th percentile never exceeds the vertex distance."""
+    """Boundary distances of all matched rows: between vertices, the 95th percentile to the boundary, and in boundary lengths."""
     found = metrics.polygon_metrics(polygons(spark, sf_dir).where("category = 'matched'"))
-    return found.select("key", ((F.col("hausdorff_p95_m") >= 0) & (F.col("hausdorff_p95_m") <= F.col("hausdorff_m")) & F.col("hausdorff_norm").isNotNull()).alias("ordered"))
+    return found.select("key", *[F.round(c, 6).alias(c) for c in ("hausdorff_m", "hausdorff_p95_m", "hausdorff_norm")])

@@ -133,9 +133,11 @@ def relation_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.select("relation_id", resolver.decision(F.col("candidates"), F.lit("set-1 ")).alias("d")).select("relation_id", "d.kind", F.col("d.target.feature_key").alias("target"))
 
 
-@query("SELECT l_orderkey, CASE WHEN count(DISTINCT l_suppkey) = 1 THEN 'open' ELSE 'choose' END AS action, CAST(min(l_suppkey) AS BIGINT) AS first_key FROM lineitem GROUP BY l_orderkey")
+@query("""SELECT l_orderkey, CASE WHEN count(DISTINCT l_suppkey) > 1 AND max(l_suppkey % 3 = 0) AND max(l_suppkey % 3 = 1) THEN 'choose' ELSE 'open' END AS action, CAST(min(l_linenumber * 1000000 + l_suppkey) % 1000000 AS BIGINT) AS first_key FROM lineitem GROUP BY l_orderkey""")
 def click_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolver.click_decision(table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("feature_key")), ["l_orderkey"])
+    k = F.col("l_suppkey")
+    hits = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_linenumber") * 1_000_000 + k).alias("drawn"), k.alias("feature_key"), F.when(k % 3 == 0, "official_only").when(k % 3 == 1, "unmatched_osm").otherwise("matched").alias("category"))
+    return resolver.click_decision(hits, ["l_orderkey"], "drawn")
 
 
 @query("""SELECT n_regionkey || chr(31) || coalesce(CASE WHEN s_nationkey % 4 <> 0 THEN CAST(s_nationkey % 4 AS VARCHAR) END, '') AS licence, count(*) AS sources, arg_min(s_name, s_suppkey) AS first_source, string_agg(s_suppkey, ',' ORDER BY s_suppkey) AS areas

@@ -24,12 +24,14 @@ GEOJSON_SCHEMA = "features array<struct<geometry:struct<type:string,coordinates:
 
 
 def polygon_text(kind: Column, coordinates: Column) -> Column:
-    """WKT of a GeoJSON polygon or multipolygon (coordinates as JSON); other kinds are null."""
+    """WKT of a GeoJSON polygon, multipolygon or point (coordinates as JSON); other kinds are null."""
     ring = lambda r: F.concat(F.lit("("), F.array_join(F.transform(r, lambda p: F.concat_ws(" ", p[0].cast("string"), p[1].cast("string"))), ", "), F.lit(")"))
     polygon = lambda p: F.concat(F.lit("("), F.array_join(F.transform(p, ring), ", "), F.lit(")"))
     one = F.from_json(coordinates, "array<array<array<double>>>")
     many = F.from_json(coordinates, "array<array<array<array<double>>>>")
-    return F.when(kind == "Polygon", F.concat(F.lit("POLYGON "), polygon(one))).when(kind == "MultiPolygon", F.concat(F.lit("MULTIPOLYGON ("), F.array_join(F.transform(many, polygon), ", "), F.lit(")")))
+    at = F.from_json(coordinates, "array<double>")
+    point = F.concat(F.lit("POINT ("), F.get(at, F.lit(0)).cast("string"), F.lit(" "), F.get(at, F.lit(1)).cast("string"), F.lit(")"))
+    return F.when(kind == "Point", point).when(kind == "Polygon", F.concat(F.lit("POLYGON "), polygon(one))).when(kind == "MultiPolygon", F.concat(F.lit("MULTIPOLYGON ("), F.array_join(F.transform(many, polygon), ", "), F.lit(")")))
 
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
@@ -99,9 +101,11 @@ def read_archive_members(spark: SparkSession, path: str, pattern: str) -> DataFr
 
 
 def parse_events(lines: DataFrame, strict: bool = False, column: str = "value") -> DataFrame:
-    """Events of JSON lines: bad lines and those without a kind are left out, or with strict raise."""
+    """Events of JSON lines: bad lines and those without a kind are left out, or with strict raise; blank lines never count."""
     e = F.from_json(F.col(column), EVENT_SCHEMA, {"mode": "FAILFAST"} if strict else {})
     full = lines.where(F.trim(column) != "").withColumn("_e", e)
+    if strict:
+        full = full.withColumn("_e", F.when(F.col("_e.kind").isNull(), F.raise_error(F.lit("an event has no kind"))).otherwise(F.col("_e")))
     return full.where("_e.kind is not null").select(*[c for c in lines.columns if c != column], "_e.*")
 
 
@@ -163,6 +167,22 @@ def parse_config(area: str, text: str) -> AreaConfig:
     return config
 
 
+def read_candidate_points(spark: SparkSession, path: str) -> DataFrame:
+    """Candidate points as GeoJSON features; a path that is not there has none, and what is no point is left out."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], "feature_id string, props map<string,string>, geom binary")
+    points = read_geojson(spark, path)
+    return points.where(call("AsText", F.col("geom")).startswith("POINT")).select("feature_id", "props", "geom")
+
+
+def areas_below(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders below a path, sorted; hidden ones and files are left out."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place)
+    return sorted(f.getPath().getName() for f in found if f.isDirectory() and not f.getPath().getName().startswith("."))
+
+
 def merged_extract(configs: list[AreaConfig]) -> dict[str, list[str]]:
     """What one shared extract must hold for all areas."""
     return {name: sorted({x for c in configs for x in getattr(c, name)}) for name in ("select", "ignore_relation_ids", "admin_levels")}

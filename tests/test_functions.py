@@ -7,8 +7,8 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from landmatch.functions import dates, geometry, keys
-from landmatch.operators import history, metrics, spatial
+from landmatch.functions import dates, geometry, keys, web
+from landmatch.operators import dictionary, history, metrics, report, resolver, spatial
 from landmatch.sources import readers, sinks
 from landmatch.streaming import fold
 
@@ -66,7 +66,7 @@ def test_scope(spark, official, osm, kept):
     geometry.register(spark)
     corners = [F.col(c) for c in ("x0", "y0", "x1", "y1")]
     frame = lambda rows: spark.createDataFrame([(k, "a", *r) for k, r in enumerate(rows)], "id long, area string, x0 double, y0 double, x1 double, y1 double").withColumn("geom", geometry.rectangle(*corners))
-    found = spatial.polygon_scope(frame([osm]), frame(official), ["area"], 0.25, "id", "id")
+    found = spatial.polygon_scope(frame([osm]), frame(official), ["area"], 0.25, "id")
     assert [r.id for r in found.collect()] == ([0] if kept else [])
 
 
@@ -140,3 +140,80 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(str, got.collect())) == sorted(map(str, wanted.collect()))
 
 
+
+
+def test_instants_do_not_depend_on_the_session(spark):
+    """The same answers in a zone with other summer times."""
+    utc = lambda t: F.lit(t).cast("timestamp_ntz")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("America/New_York", "Europe/Berlin", "UTC"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            assert one(spark, dates.iso_instant(F.lit("2024-06-01T12:00:00Z"))) == "2024-06-01T12:00:00.000Z"
+            assert one(spark, dates.iso_instant(F.lit("2024-03-10T02:30:00.25"))) == "2024-03-10T02:30:00.250Z"
+            assert one(spark, dates.iso_instant(F.lit(" 2024-06-01 "))) == "2024-06-01T00:00:00.000Z"
+            assert one(spark, dates.stale(utc("2024-10-24 12:00:00"), utc("2024-10-29 12:00:00"), 5)) is False
+            assert one(spark, dates.stale(utc("2024-10-24 12:00:00"), utc("2024-10-29 12:00:01"), 5)) is True
+            for hours, wanted in ((0.5, ("minutes", 30)), (25, ("hours", 25)), (26, ("days", 1)), (24 * 370, ("months", 12)), (24 * 800, ("years", 2))):
+                found = one(spark, dates.age_bucket(utc("2022-01-01 00:00:00"), utc("2022-01-01 00:00:00") + F.make_dt_interval(mins=F.lit(int(hours * 60)))))
+                assert (found.unit, found.n) == wanted
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_live_queries(spark):
+    box = tuple(F.lit(x) for x in (13.0, 52.5, 13.25, 53.0))
+    assert one(spark, web.overpass_query("postal_code", box)) == '[out:json][timeout:90];\n(\n  relation["boundary"="postal_code"](52.5,13,53,13.25);\n  way["boundary"="postal_code"](52.5,13,53,13.25);\n);\nout geom;'
+    old = one(spark, web.wfs_url(F.lit("https://h/x"), F.lit("a:b c"), F.lit("1.1.0"), box, srs=F.lit("EPSG:25833")))
+    assert old == "https://h/x?service=wfs&version=1.1.0&request=GetFeature&typeName=a%3Ab+c&bbox=13%2C52.5%2C13.25%2C53%2CEPSG%3A25833&maxFeatures=50&srsName=EPSG%3A25833"
+    assert "&bbox=13%2C52.5" in one(spark, web.wfs_url(F.lit("h"), F.lit("a"), F.lit("2.0.0"), box, axis=F.lit("lonlat")))
+    assert one(spark, web.reference_date(F.lit("Aktualit&auml;tsstand: 1.7.2026"))) == "2026-07-01"
+    assert one(spark, web.reference_date(F.lit("Aktualitätsstand: 32.07.2026"))) is None and one(spark, web.reference_date(F.lit("01.07.2026"))) is None
+    assert [one(spark, web.placeholder(F.lit(x))) for x in ("", "—", "nan", "--", "null", "-1")] == [True, True, True, True, False, False]
+    view = one(spark, web.map_view(F.lit("23.5/89.1234567/-180x")))
+    assert (view.zoom, view.lat, view.lon) == (23.5, 89.1234567, -180.0) and one(spark, web.map_view(F.lit("25/0/0"))) is None
+    assert one(spark, web.map_view_text(F.lit(12.34), F.lit(52.12345678), F.lit(-13.0))) == "12.3/52.123457/-13"
+    assert one(spark, web.object_identity(F.lit('{"id":"5"}'))) is None and one(spark, web.object_identity(F.lit('{"id":5}'))).type == "way"
+    assert one(spark, dictionary.name_form(F.lit("  Ｂad \u200bOrb "))) == "bad orb"
+
+
+def test_click_in_draw_order(spark):
+    hits = [(1, 1, "b", "matched"), (1, 2, "a", "official_only"), (2, 1, "x", "unmatched_osm"), (2, 2, "y", "official_only"), (3, 1, "z", "official_only")]
+    found = resolver.click_decision(spark.createDataFrame(hits, "click long, at long, feature_key string, category string"), ["click"], "at")
+    assert sorted(tuple(r) for r in found.collect()) == [(1, "open", "b"), (2, "choose", "x"), (3, "open", "z")]
+
+
+def test_grid_pairs_of_any_size(spark):
+    """Boxes of very different sizes, against all pairs, and the rows that a box becomes."""
+    boxes = [(k, "a", float(k % 17), float(k % 13), k % 17 + 4.0 ** (k % 7) / 8, k % 13 + 4.0 ** (k % 5) / 8) for k in range(90)]
+    schema = "id long, g string, x0 double, y0 double, x1 double, y1 double"
+    left, right = spark.createDataFrame(boxes[:50], schema), spark.createDataFrame(boxes[40:], schema)
+    found = [(r.id, r.r_id) for r in spatial.grid_pairs(left, right, ["g"], 0.05).select("id", "r_id").collect()]
+    wanted = [(a[0], b[0]) for a in boxes[:50] for b in boxes[40:] if a[2] <= b[4] and b[2] <= a[4] and a[3] <= b[5] and b[3] <= a[5]]
+    assert sorted(found) == sorted(wanted)
+    corners = [F.col(c) for c in ("x0", "y0", "x1", "y1")]
+    rows = left.select(F.size(spatial.cells(*corners, spatial.level_of(*corners, 0.05), 0.05)).alias("n")).agg(F.max("n")).first()[0]
+    assert rows <= 4
+
+
+def test_feature_tables_without_a_difference(spark):
+    geometry.register(spark)
+    square = geometry.rectangle(F.lit(10.0), F.lit(50.0), F.lit(11.0), F.lit(51.0))
+    rows = spark.createDataFrame([("a", "k", "matched")], "area string, key string, category string").select("*", square.alias("official_geom"), square.alias("osm_geom"))
+    corner = geometry.call("FromText", F.lit("POINT (11 51)"))
+    found = report.feature_tables(rows, ["area"], "key", F.max(corner)).select("layer", "feature_id", geometry.call("AsText", F.col("geom")).alias("g")).collect()
+    assert [(r.layer, r.feature_id, r.g) for r in found if r.layer == "diff"] == [("diff", report.NO_DIFFERENCE, "POINT (11 51)")]
+    assert sum(r.layer == "overlay" for r in found) == 2
+
+
+def test_candidate_point_sources(spark, tmp_path):
+    geometry.register(spark)
+    assert readers.read_candidate_points(spark, str(tmp_path / "none.json")).count() == 0
+    (tmp_path / "c.json").write_text('{"features":[{"id":"1","properties":{"osm_way_id":"12345"},"geometry":{"type":"Point","coordinates":[10,50]}},{"id":"2","properties":{},"geometry":{"type":"Polygon","coordinates":[[[0,0],[2,0],[2,1],[0,0]]]}}]}')
+    assert [r.feature_id for r in readers.read_candidate_points(spark, str(tmp_path / "c.json")).collect()] == ["1"]
+    for name in ("b", ".hidden", "a"):
+        (tmp_path / "areas" / name).mkdir(parents=True)
+    assert readers.areas_below(spark, str(tmp_path / "areas")) == ["a", "b"]
+    events = spark.createDataFrame([('{"runId":"b"}',)], "value string")
+    with pytest.raises(Exception, match="no kind"):
+        readers.parse_events(events, strict=True).collect()
