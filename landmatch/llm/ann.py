@@ -13,7 +13,8 @@ as ties go to the smaller id.
 
 Defined cases: null vectors, zero vectors and those with null or non-finite components take no
 part, nor do those of another length than most; a query with fewer candidates than k gets all of
-them; rows that share vector and id count as one; an empty table gives an empty result.
+them; rows that share vector and id count as one; an empty table gives an empty result; the output has its own
+columns alone, so that columns of the input may have their names.
 """
 
 from __future__ import annotations
@@ -115,7 +116,7 @@ def search(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: st
     """(query_id, rank, vec_id, score): the k nearest found of each query among all other rows."""
     spark = vectors.sparkSession
     result = "query_id long, rank int, vec_id long, score double"
-    whole = vectors.where(valid(vector)).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
+    whole = vectors.where(valid(vector)).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     lengths = whole.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     if lengths is None or lengths["n"] < 2:
         return spark.createDataFrame([], result)
@@ -139,17 +140,18 @@ def search(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: st
             cell = nearest(x[:, :half], books[0]).argmin(1) * width + nearest(x[:, half:], books[1]).argmin(1) if len(x) else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int64())], ["v", "ids", "cell"])
 
-    indexed = entries.mapInArrow(assign, "v array<float>, ids array<long>, cell long")
+    indexed = entries.mapInArrow(assign, "v array<double>, ids array<long>, cell long")
     # at most len(books[0]) * len(books[1]) rows, whatever the table holds
     sizes = dict(indexed.groupBy("cell").count().toPandas().itertuples(index=False, name=None))
     blocks = max(1, math.ceil(sum(sizes.values()) / BLOCK))
+    sent = spark.sparkContext.broadcast(sizes)
 
     def block(cell: np.ndarray, part: np.ndarray) -> np.ndarray:
         mixed = (cell.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ part.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0xD6E8FEB86659FD93)
         return (mixed >> np.uint64(33)).astype(np.int64) % blocks
 
     def parts(cell: int) -> int:
-        return -(-sizes[cell] // BLOCK)
+        return -(-sent.value[cell] // BLOCK)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,7 +168,7 @@ def search(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: st
             d1, d2 = nearest(x[:, :half], books[0]), nearest(x[:, half:], books[1])
             rows, cells, seats = [], [], []
             for r in range(len(x)):
-                for cell in walk(d1[r], d2[r], sizes, candidates):
+                for cell in walk(d1[r], d2[r], sent.value, candidates):
                     for part in range(parts(cell)):
                         rows.append(r)
                         cells.append(cell)
@@ -184,8 +186,10 @@ def search(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: st
     asking = usable.where("q").select("id", "v").distinct()
     trial = asking.orderBy(F.xxhash64("id"), "id").limit(TRIALS).toArrow()
     candidates = enough(indexed, trial, k, reached, books, sizes)
-    held = indexed.mapInArrow(place, "block long, cell long, v array<float>, ids array<long>")
-    probes = asking.mapInArrow(probe, "block long, id long, q array<float>, cells array<long>")
+    held = indexed.mapInArrow(place, "block long, cell long, v array<double>, ids array<long>")
+    # a walk is much work for a small row: queries are spread over all cores, which no coalescing takes back
+    spread = asking.repartition(max(2, spark.sparkContext.defaultParallelism), "id")
+    probes = spread.mapInArrow(probe, "block long, id long, q array<double>, cells array<long>")
 
     def rerank(asked: pa.Table, kept: pa.Table) -> pa.Table:
         out: list[tuple[int, int, float]] = []

@@ -1,6 +1,7 @@
 """License scan: Dice coefficient over word bigrams against licence templates, with DataFrame functions only.
 
-The units of a text are its lines and the text as a whole. A unit of n bigrams can reach a Dice
+The units of a text are its lines, its paragraphs of several lines (between blank lines) and the text as a whole, so
+that a notice wrapped over lines is found inside a longer document. A unit of n bigrams can reach a Dice
 coefficient of t only against templates of n t / (2 - t) to n (2 - t) / t bigrams; other
 templates, and units outside all of these bounds, are pruned before any bigram is compared. The
 template table is a fixed list in this file, so its bigrams are broadcast; a unit's bigrams meet
@@ -21,9 +22,48 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEAST = 0.8
+PARAGRAPH = r"\n[ \t]*\n"
+
+# The passages by which works carry or name their licence.
+MIT_GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+MIT_NOTICE = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+MIT_WARRANTY = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+BSD_HEAD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+BSD_CLAUSES = "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+BSD_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+BSD_WARRANTY = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+ISC_GRANT = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+APACHE_HEADER = "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."
+UNLICENSE = "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+
+
+def gnu_header(name: str, version: str) -> str:
+    """The notice at the head of a file under one of the GNU licences."""
+    return f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version."
+
+
+def gnu_warranty(name: str) -> str:
+    return f"This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details."
+
+
+GNU = {"GPL-2.0": ("General Public License", "2"), "GPL-3.0": ("General Public License", "3"), "LGPL-2.1": ("Lesser General Public License", "2.1"), "LGPL-3.0": ("Lesser General Public License", "3"), "AGPL-3.0": ("Affero General Public License", "3")}
 
-# Short notices by which works name their licence.
 TEMPLATES = (
+    *((licence, gnu_header(name, version)) for licence, (name, version) in GNU.items()),
+    *((licence, f"{gnu_header(name, version)} {gnu_warranty(name)}") for licence, (name, version) in GNU.items()),
+    ("Apache-2.0", APACHE_HEADER),
+    ("BSD-2-Clause", f"{BSD_HEAD} {BSD_CLAUSES}"),
+    ("BSD-2-Clause", f"{BSD_HEAD} {BSD_CLAUSES} {BSD_WARRANTY}"),
+    ("BSD-3-Clause", f"{BSD_HEAD} {BSD_CLAUSES} {BSD_THIRD}"),
+    ("BSD-3-Clause", f"{BSD_HEAD} {BSD_CLAUSES} {BSD_THIRD} {BSD_WARRANTY}"),
+    ("BSD-3-Clause", BSD_THIRD),
+    ("ISC", ISC_GRANT),
+    ("MIT", MIT_GRANT),
+    ("MIT", f"{MIT_GRANT} {MIT_NOTICE}"),
+    ("MIT", f"{MIT_GRANT} {MIT_NOTICE} {MIT_WARRANTY}"),
+    ("MIT", f"MIT License {MIT_GRANT} {MIT_NOTICE} {MIT_WARRANTY}"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("Unlicense", UNLICENSE),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
@@ -60,7 +100,7 @@ def template_bigrams(templates) -> list[tuple[int, str, int, str, int]]:
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST, templates=TEMPLATES) -> DataFrame:
-    """(key, line, license, dice): every unit's best licence of at least ``least``; line is -1 for the whole text."""
+    """(key, line, license, dice): every unit's best licence of at least ``least``; line is -1 for the whole text and -2, -3 .. for its first, second .. paragraph."""
     spark = docs.sparkSession
     rows = template_bigrams(templates)
     known = F.broadcast(spark.createDataFrame(rows, "template int, license string, t_size int, gram string, t_times int"))
@@ -68,8 +108,12 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float
     wide = least / (2 - least)
     lines = F.split(F.col(text), "\n")
     whole = F.when(F.size(lines) > 1, F.array(F.struct(F.lit(-1).alias("line"), F.col(text).alias("unit")))).otherwise(F.array().cast("array<struct<line:int,unit:string>>"))
-    each = docs.select(key, F.explode(F.concat(whole, F.transform(lines, lambda x, k: F.struct(k.alias("line"), x.alias("unit"))))).alias("u"))
-    # a cheap bound first: a unit of n characters has at most n / 2 words; then the bound on its bigrams
+    split = F.split(F.col(text), PARAGRAPH)
+    several = F.filter(F.transform(split, lambda x, k: F.struct((-2 - k).alias("line"), x.alias("unit"))), lambda p: p["unit"].contains("\n"))
+    paragraphs = F.when(F.size(split) > 1, several).otherwise(F.array().cast("array<struct<line:int,unit:string>>"))
+    units = F.concat(whole, paragraphs, F.transform(lines, lambda x, k: F.struct(k.alias("line"), x.alias("unit"))))
+    # a cheap bound first: a unit of n characters has at most n / 2 words, too few for the shortest template
+    each = docs.select(key, F.explode(F.filter(units, lambda u: F.length(u["unit"]) >= 2 * sizes[0] * wide)).alias("u"))
     words = each.select(key, "u.line", F.array_remove(F.split(F.lower("u.unit"), "[^a-z0-9]+"), "").alias("w")).where(F.size("w") > 0)
     sized = words.withColumn("n", F.greatest(F.size("w") - 1, F.lit(1)))
     bounded = sized.where((F.col("n") >= sizes[0] * wide) & (F.col("n") <= sizes[-1] / wide))

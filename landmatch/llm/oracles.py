@@ -27,6 +27,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 LICENCES = f"""WITH k(template, license, t_size, gram, t_times) AS (VALUES {_TEMPLATES}),
 u AS (SELECT doc_id, -1 AS line, text AS unit FROM documents WHERE contains(text, chr(10))
+  UNION ALL SELECT doc_id, -1 - i, p[i] FROM (SELECT doc_id, string_split_regex(text, '\n[ \t]*\n') AS p FROM documents WHERE text IS NOT NULL), unnest(range(1, len(p) + 1)) r(i) WHERE len(p) > 1 AND contains(p[i], chr(10))
   UNION ALL SELECT doc_id, i - 1, s[i] FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL), unnest(range(1, len(s) + 1)) r(i)),
 w AS (SELECT doc_id, line, list_filter(regexp_split_to_array(lower(unit), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM u),
 g AS (SELECT doc_id, line, greatest(len(w) - 1, 1) AS n, CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END AS gs FROM w WHERE len(w) > 0),

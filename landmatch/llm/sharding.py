@@ -10,7 +10,8 @@ Rows of over 1/LARGE of a shard come first in their shard, the largest before th
 the cuts fall between small rows and sizes come out near equal.
 
 Defined cases: a null text has only the overhead of its row; repeated rows are placed one by one; an
-empty table gives an empty result; a row without an old shard (null) counts as of shard 0.
+empty table gives an empty result; a row without an old shard (null) counts as of shard 0; the output has its own
+columns alone, so that columns of the input may have their names.
 """
 
 from __future__ import annotations
@@ -160,21 +161,39 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int = 40, key: str = "do
 def rewrite(spark: SparkSession, folder: str, assigned: DataFrame, key: str = "doc_id", column: str = "shard") -> list[int]:
     """Rewrites the shards (folder/shard=N) that lose or gain rows; the others keep their files. Returns the rewritten shards.
 
-    assigned: (key, old_shard, shard) of every row of the folder, keys distinct. New files are written
-    beside the old ones and swapped in by renames once they are complete.
+    assigned: (key, old_shard, shard) of every row of the folder, keys distinct. New files are written beside the old
+    ones; once they are complete, each old shard is set aside before the new one takes its place, and what was set
+    aside goes last. A rename that fails takes back those before it and raises: no state lacks a row.
     """
     stored = spark.read.parquet(folder)
     moves = assigned.select(F.col(key), F.col("old_shard"), F.col("shard").alias("_to"))
     touched = sorted({s for row in moves.where("old_shard <> _to").select("old_shard", "_to").distinct().collect() for s in row})  # at most a row per pair of shards
     if not touched:
         return []
-    staged = f"{folder.rstrip('/')}-staged-{uuid.uuid4().hex}"
+    run = uuid.uuid4().hex
+    staged, aside = (f"{folder.rstrip('/')}-{kind}-{run}" for kind in ("staged", "replaced"))
     changed = stored.where(F.col(column).isin(touched)).join(moves.select(key, "_to"), key)
     changed.drop(column).withColumnRenamed("_to", column).write.partitionBy(column).parquet(staged)
     path = spark._jvm.org.apache.hadoop.fs.Path
     files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    for shard in touched:
-        files.delete(path(f"{folder}/{column}={shard}"), True)
-        files.rename(path(f"{staged}/{column}={shard}"), path(f"{folder}/{column}={shard}"))
+    at = lambda root, shard: path(f"{root}/{column}={shard}")
+    files.mkdirs(path(aside))
+    done: list[tuple] = []  # renames made, as (from, to)
+    try:
+        for shard in touched:
+            for a, b in ((at(folder, shard), at(aside, shard)), (at(staged, shard), at(folder, shard))):
+                if files.exists(a):
+                    renamed(files, a, b)
+                    done.append((a, b))
+    except Exception:
+        for a, b in reversed(done):  # the old shards come back; the new files stay staged
+            renamed(files, b, a)
+        raise
+    files.delete(path(aside), True)
     files.delete(path(staged), True)
     return touched
+
+
+def renamed(files, a, b) -> None:
+    if not files.rename(a, b):
+        raise OSError(f"{a} could not be renamed to {b}")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -197,7 +198,9 @@ def brute_licence(text):
     best = []
     wanted = [(name, Counter(f"{a} {b}" for a, b in zip(w, w[1:], strict=False))) for name, notice in licenses.TEMPLATES for w in [re.findall("[a-z0-9]+", notice.lower())]]
     split = (text or "").split("\n")
-    for line, unit in [*([(-1, text)] if text and len(split) > 1 else []), *enumerate(split)]:
+    parts = re.split(r"\n[ \t]*\n", text or "")
+    paragraphs = [(-2 - k, p) for k, p in enumerate(parts) if len(parts) > 1 and "\n" in p]
+    for line, unit in [*([(-1, text)] if text and len(split) > 1 else []), *paragraphs, *enumerate(split)]:
         words = re.findall("[a-z0-9]+", (unit or "").lower())
         grams = Counter([f"{a} {b}" for a, b in zip(words, words[1:], strict=False)] or words)
         found = [(-2 * (grams & t).total() / (grams.total() + t.total()), name) for name, t in wanted if words]
@@ -220,6 +223,21 @@ def test_licences_of_odd_texts(odd):
     assert licenses.licences(odd.limit(0)).count() == 0
 
 
+def test_licence_texts(spark):
+    """Ordinary headers and texts, wrapped over lines and commented, inside longer documents."""
+    wrap = lambda text, mark="", width=60: "\n".join(mark + x for x in textwrap.wrap(text, width))
+    mit = f"MIT License\n\nCopyright (c) 2024 A. Person\n\n{wrap(licenses.MIT_GRANT)}\n\n{wrap(licenses.MIT_NOTICE)}\n\n{wrap(licenses.MIT_WARRANTY)}"
+    texts = {
+        0: (mit, "MIT"), 1: (f"import os\nimport sys\n\n{mit}\n\ndef f():\n    pass", "MIT"), 2: (f"#!/bin/sh\n\n{wrap(licenses.APACHE_HEADER, '# ')}\n\necho", "Apache-2.0"),
+        3: (f"/* code */\n\n{wrap(licenses.gnu_header(*licenses.GNU['GPL-3.0']), ' * ')}\n\nint main;", "GPL-3.0"), 4: (f"x\n\n{wrap(licenses.BSD_HEAD + ' ' + licenses.BSD_CLAUSES)}\n\ny", "BSD-2-Clause"),
+        5: ("Some words about a licence.\nAnd about the software that it covers.\n\nNothing is granted here,\nnothing at all.", None),
+        6: ("a\n\nThis work is licensed under the GNU General\nPublic License, version 2.\n\nb", "GPL-2.0"),
+    }
+    rows = licenses.licences(spark.createDataFrame([(k, t) for k, (t, _) in texts.items()], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.license for r in rows} == {k: name for k, (_, name) in texts.items()}
+    assert {r.doc_id: r.n_matches for r in rows} == {k: brute_licence(t)[0] for k, (t, _) in texts.items()}
+
+
 # ---- resharding
 
 
@@ -277,6 +295,27 @@ def test_rewrite_touches_only_changed_shards(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "shards/shard=2").iterdir()) == untouched
 
 
+def test_failed_rename_leaves_the_shards(spark, tmp_path, monkeypatch):
+    rows = [(k, f"t{k}", k % 3) for k in range(9)]
+    folder = str(tmp_path / "shards")
+    spark.createDataFrame(rows, "doc_id long, text string, shard int").write.partitionBy("shard").parquet(folder)
+    moves = spark.createDataFrame([(k, s, (s + 1) % 3) for k, _, s in rows], "doc_id long, old_shard int, shard int")
+    whole, count = sharding.renamed, [0]
+
+    def failing(files, a, b):
+        count[0] += 1
+        if count[0] == 4:
+            raise OSError("no")
+        whole(files, a, b)
+
+    monkeypatch.setattr(sharding, "renamed", failing)
+    with pytest.raises(OSError):
+        sharding.rewrite(spark, folder, moves)
+    assert {(r.doc_id, r.shard) for r in spark.read.parquet(folder).collect()} == {(k, s) for k, _, s in rows}
+    assert sharding.rewrite(spark, folder, moves) == [0, 1, 2]
+    assert {(r.doc_id, r.shard) for r in spark.read.parquet(folder).collect()} == {(k, (s + 1) % 3) for k, _, s in rows}
+
+
 # ---- neighbours
 
 
