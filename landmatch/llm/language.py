@@ -10,7 +10,7 @@ evenly spread sample of about that size, so the fit costs the same at any corpus
 
 Defined cases: a null text, or one without any letter, is ``und`` with score 0; without any
 labelled training row every document is ``und``; equal scores go to the smallest language name;
-rows are scored one by one, so repeats agree; other columns pass through unless they carry the
+rows are scored one by one, so repeats agree; a very long text is taken in parts; other columns pass through unless they carry the
 name of an output column.
 """
 
@@ -32,15 +32,20 @@ CHUNK = 1 << 21
 UNDETERMINED = "und"
 
 
-def grams(text: str) -> np.ndarray:
-    """Bucket of every n-gram of the text, lower-cased, with a space at either end."""
-    codes = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    found, rolled = [], np.zeros(len(codes), np.uint64)
-    for n in range(1, max(ORDERS) + 1):
-        rolled = rolled[: len(codes) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + codes[n - 1 :]
-        if n in ORDERS and len(rolled):
-            found.append(((rolled * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - BITS)).astype(np.int32))
-    return np.concatenate(found)
+def grams(text: str, part: int = CHUNK // 4) -> Iterator[np.ndarray]:
+    """Buckets of every n-gram of the text, lower-cased, with a space at either end; a long text gives them in parts of bounded size."""
+    whole, most = f" {text.lower()} ", max(ORDERS)
+    for k in range(0, len(whole), part):
+        # a part takes up the characters before it whose n-grams end in it
+        before = min(k, most - 1)
+        codes = np.frombuffer(whole[k - before : k + part].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        found, rolled = [], np.zeros(len(codes), np.uint64)
+        for n in range(1, most + 1):
+            rolled = rolled[: max(len(codes) - n + 1, 0)] * np.uint64(0x9E3779B97F4A7C15) + codes[n - 1 :]
+            if n in ORDERS:
+                own = rolled[max(before - n + 1, 0) :]
+                found.append(((own * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - BITS)).astype(np.int32))
+        yield np.concatenate(found)
 
 
 def has_letter(text: str | None) -> bool:
@@ -61,7 +66,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
             for t, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if has_letter(t):
                     into = sums.setdefault(name, np.zeros(1 << BITS, np.int64))
-                    into += np.bincount(grams(t), minlength=1 << BITS)
+                    for part in grams(t):
+                        into += np.bincount(part, minlength=1 << BITS)
                     rows[name] = rows.get(name, 0) + 1
         for name, n in sums.items():
             at = np.flatnonzero(n)
@@ -88,38 +94,40 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
     at = kept.index(text)
     schema = T.StructType([*order.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
-    def posterior(found: list[np.ndarray], table: np.ndarray) -> np.ndarray:
-        sizes = np.array([len(g) for g in found])
-        sums = np.add.reduceat(table[np.concatenate(found)], np.append(0, np.cumsum(sizes)[:-1]), axis=0, dtype=np.float64) + table[-1]
-        odds = np.exp(sums - sums.max(1, keepdims=True))
-        return odds / odds.sum(1, keepdims=True)
-
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = held.value
         for batch in batches:
             langs, scores = [UNDETERMINED] * batch.num_rows, np.zeros(batch.num_rows)
-            rows, found, size = [], [], 0
+            sums = np.zeros((batch.num_rows, len(names)))
+            known, rows, found, size = [], [], [], 0
 
             def flush():
                 if rows:
-                    odds = posterior(found, table)
-                    best = odds.argmax(1)
-                    scores[rows] = odds[np.arange(len(rows)), best]
-                    for r, b in zip(rows, best, strict=True):
-                        langs[r] = names[b]
+                    starts = np.cumsum([len(g) for g in found]) - [len(g) for g in found]
+                    np.add.at(sums, rows, np.add.reduceat(table[np.concatenate(found)], starts, axis=0, dtype=np.float64))
                     rows.clear()
                     found.clear()
 
             for i, t in enumerate(batch.column(at)):
                 t = t.as_py()
                 if names and has_letter(t):
-                    rows.append(i)
-                    found.append(grams(t))
-                    size += len(found[-1])
-                    if size > CHUNK:
-                        flush()
-                        size = 0
+                    known.append(i)
+                    for part in grams(t):
+                        rows.append(i)
+                        found.append(part)
+                        size += len(part)
+                        if size > CHUNK:
+                            flush()
+                            size = 0
             flush()
+            if known:
+                total = sums[known] + table[-1]
+                odds = np.exp(total - total.max(1, keepdims=True))
+                odds /= odds.sum(1, keepdims=True)
+                best = odds.argmax(1)
+                scores[known] = odds[np.arange(len(known)), best]
+                for r, b in zip(known, best, strict=True):
+                    langs[r] = names[b]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs), pa.array(scores)], schema=pa.schema([*batch.schema, pa.field("lang_pred", pa.string()), pa.field("score", pa.float64())]))
 
     return order.mapInArrow(score, schema)

@@ -100,11 +100,11 @@ def test_language_equals_plain_naive_bayes(odd):
     names, logs = language.train(docs)
     rows = [(r.text, r.lang) for r in docs.collect() if r.lang]
     assert names == sorted({x for _, x in rows})
-    counts = {name: Counter(g for t, x in rows if x == name for g in language.grams(t).tolist()) for name in names}
+    counts = {name: Counter(g for t, x in rows if x == name for part in language.grams(t) for g in part.tolist()) for name in names}
     buckets = 1 << language.BITS
     for text in ("the boats", SENTENCE, "Schiffe im Hafen"):
         sums = [
-            math.log(sum(x == name for _, x in rows) / len(rows)) + sum(math.log((counts[name][g] + 0.5) / (counts[name].total() + 0.5 * buckets)) for g in language.grams(text).tolist())
+            math.log(sum(x == name for _, x in rows) / len(rows)) + sum(math.log((counts[name][g] + 0.5) / (counts[name].total() + 0.5 * buckets)) for part in language.grams(text) for g in part.tolist())
             for name in names
         ]
         got = language.identify(docs.limit(1).withColumn("text", F.lit(text)), (names, logs)).first()
@@ -113,6 +113,14 @@ def test_language_equals_plain_naive_bayes(odd):
         assert got.score == pytest.approx(odds.max() / odds.sum(), abs=1e-3)
 
 
+@pytest.mark.parametrize("part", [1, 2, 3, 7, 1000])
+def test_grams_in_parts(part):
+    text = "Straße und ÉTÉ, 日本語 " * 5
+    whole = sorted(np.concatenate(list(language.grams(text))).tolist())
+    assert sorted(np.concatenate(list(language.grams(text, part))).tolist()) == whole
+    assert len(whole) == 3 * (len(text.lower()) + 2) - 3
+
+
 def test_language_of_odd_texts(odd):
     found = {r.doc_id: r for r in language.identify(odd, language.train(odd)).collect()}
     letters = {k for k, t in enumerate(ODD) if t and any(c.isalpha() for c in t)}
