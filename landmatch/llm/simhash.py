@@ -95,7 +95,7 @@ def hamming_table() -> np.ndarray:
 
 
 def anchors(half: np.ndarray, codes: np.ndarray) -> list[np.ndarray]:
-    """33 anchors of each half: that of the half and those of its 32 neighbours (repeats included)."""
+    """31 anchors of each half: that of the half and those of its 30 neighbours in the covered bits (repeats included)."""
     low, high = half & 0x7FFF, half >> 16 & 0x7FFF
     a, b = codes[low].astype(np.int64), codes[high].astype(np.int64)
     near = [a << 11 | b]
