@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landmatch.llm import ann, bpe, language, licenses, lm, oracles, packing, quality, sharding, simhash, whole_lines
+from landmatch.llm import ann, bpe, chat, language, licenses, lloyd, lm, oracles, packing, phrases, quality, sharding, simhash, whole_lines
 from landmatch.llm.common import fold, table
 
 
@@ -64,5 +64,26 @@ def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold() == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_inverted_multi_index, op3_fuzzy_lines, op4_packing, op5_quality_rules, op6_language_id, op7_simhash, op8_license_scan, op9_resharding, op10_lattice_lm)}
-ORACLES: dict[str, str] = {"op5_quality_rules": oracles.QUALITY, "op8_license_scan": oracles.LICENCES}
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    stored = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    read = chat.read_back(chat.render(chat.segments(stored.unionByName(added))))
+    told = F.array_join(F.transform("turns", lambda x: F.concat(x.role, F.lit("\n"), x.text, F.lit("\n"))), "")
+    return read.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "first_bad_turn", "complete",
+    )
+
+
+def op12_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lloyd.cluster(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2("centroid", 256).alias("centroid_sha256"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_inverted_multi_index, op3_fuzzy_lines, op4_packing, op5_quality_rules, op6_language_id, op7_simhash, op8_license_scan, op9_resharding, op10_lattice_lm, op11_chat_format, op12_lloyd, op13_collocations)}
+ORACLES: dict[str, str] = {"op5_quality_rules": oracles.QUALITY, "op8_license_scan": oracles.LICENCES, "op11_chat_format": oracles.CHAT, "op12_lloyd": oracles.LLOYD, "op13_collocations": oracles.COLLOCATIONS}
