@@ -39,7 +39,7 @@ from landmatch.llm.common import Scratch
 
 DEPTH = 3
 LEAST, TOP, SHARE = 10, 2000, 50
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 4 << 20
 FILTER_BITS = 1 << 26
 BREAKS, SPACES = b".,;:!?\n\x0b\x0c\r", b" \t"
 #: 0 for a byte of a word, 1 for a space, 2 for a break between pieces.
@@ -204,7 +204,7 @@ def level(docs: DataFrame, size: int, bits) -> DataFrame:
             shard.clear()
 
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()), strict=True):
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 for part, leading in slices(text.as_py()):
                     shard.setdefault(lang, []).append((part, leading))
                     held += len(part)
