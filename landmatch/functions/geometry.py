@@ -1,6 +1,6 @@
 """Geometry functions on WKB columns, run by the JTS library that ships with Spark.
 
-The Java source beside this package is compiled once per machine with the JDK's compiler against Spark's own
+The Java sources beside this package are compiled once per machine with the JDK's compiler against Spark's own
 jars, added to the session, and registered under names that start with ``lm_``.
 """
 
@@ -20,19 +20,24 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SOURCE = Path(__file__).resolve().parent.parent / "geom" / "GeomUdfs.java"
+SOURCES = sorted((Path(__file__).resolve().parent.parent / "geom").glob("*.java"))
 MEASURES = ("official_area", "osm_area", "intersection", "union", "hausdorff", "hausdorff_p95", "boundary")
 _double = lambda *names: T.StructType([T.StructField(n, T.DoubleType()) for n in names])
+FEATURE = T.StructType([T.StructField("id", T.StringType()), T.StructField("properties", T.MapType(T.StringType(), T.StringType())), T.StructField("geom", T.BinaryType())])
 FUNCTIONS = {
     "FromText": T.BinaryType(), "AsText": T.StringType(), "Area": T.DoubleType(), "Length": T.DoubleType(), "Envelope": _double("w", "s", "e", "n"),
     "Multi": T.BinaryType(), "UnionAll": T.BinaryType(), "Intersects": T.BooleanType(), "Covers": T.BooleanType(), "Centroid": T.BinaryType(),
     "PointOnSurface": T.BinaryType(), "Difference": T.BinaryType(), "Shrink": T.BinaryType(), "Simplify": T.BinaryType(), "Measures": _double(*MEASURES),
     "ToUtm": T.BinaryType(), "GeodesicArea": T.DoubleType(),
+    "Compatible": T.StringType(), "SortKey": T.BinaryType(), "OrderedBits": T.LongType(),
+    "HoldsPoint": T.BooleanType(), "XmlFeatures": T.ArrayType(FEATURE), "RelationPolygons": T.BinaryType(),
 }
+#: Classes of the functions that are not in GeomUdfs.
+HOMES = {"Compatible": "TextUdfs", "SortKey": "TextUdfs", "OrderedBits": "TextUdfs", "HoldsPoint": "ShapeUdfs", "XmlFeatures": "ShapeUdfs", "RelationPolygons": "ShapeUdfs"}
 
 
 def _jar() -> str:
-    name = hashlib.sha256(SOURCE.read_bytes() + pyspark.__version__.encode()).hexdigest()[:16]
+    name = hashlib.sha256(b"".join(p.read_bytes() for p in SOURCES) + pyspark.__version__.encode()).hexdigest()[:16]
     out = Path(tempfile.gettempdir()) / f"landmatch-geom-{os.getuid()}-{name}.jar"
     if not out.exists():
         jars = os.path.join(os.environ.get("SPARK_HOME") or os.path.dirname(pyspark.__file__), "jars")
@@ -40,7 +45,7 @@ def _jar() -> str:
         if compiler is None:
             raise RuntimeError("the geometry functions need a JDK on the driver")
         with tempfile.TemporaryDirectory() as at:
-            subprocess.run([compiler, "-nowarn", "-d", at, "-cp", ":".join(glob.glob(f"{jars}/*.jar")), str(SOURCE)], check=True, capture_output=True)
+            subprocess.run([compiler, "-nowarn", "-encoding", "UTF-8", "-d", at, "-cp", ":".join(glob.glob(f"{jars}/*.jar")), *map(str, SOURCES)], check=True, capture_output=True)
             packed = f"{out}.{os.getpid()}"
             with zipfile.ZipFile(packed, "w") as z:
                 for f in Path(at).rglob("*.class"):
@@ -55,10 +60,10 @@ def register(spark: SparkSession) -> None:
         return
     spark.sql(f"ADD JAR '{_jar()}'")
     for name, kind in FUNCTIONS.items():
-        spark.udf.registerJavaFunction(f"lm_{name}", f"landmatch.geom.GeomUdfs${name}", kind)
+        spark.udf.registerJavaFunction(f"lm_{name}", f"landmatch.geom.{HOMES.get(name, 'GeomUdfs')}${name}", kind)
 
 
-def call(name: str, *columns: Column) -> Column:
+def call(name: str, *columns: Column | str) -> Column:
     return F.call_function(f"lm_{name}", *columns)
 
 

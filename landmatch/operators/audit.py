@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,11 +40,35 @@ def inventory(files: DataFrame, by: list[str], top: int = 10) -> DataFrame:
 
 
 def fingerprint(files: DataFrame, by: list[str]) -> DataFrame:
-    """(by.., fingerprint): SHA-256 over each group's paths and contents in path order, each followed by a zero byte."""
-    zero = F.lit(bytearray(b"\x00"))
-    piece = F.struct("path", F.concat(F.col("path").cast("binary"), zero, F.col("content").cast("binary"), zero).alias("raw"))
-    whole = F.aggregate(F.array_sort(F.collect_list(piece)), F.lit(bytearray()).cast("binary"), lambda s, x: F.concat(s, x["raw"]))
-    return files.groupBy(*by).agg(F.sha2(whole, 256).alias("fingerprint"))
+    """(by.., fingerprint): SHA-256 over each group's paths and contents in path order, each followed by a zero byte.
+
+    A digest needs its bytes in order, so a group is one task's; its files come sorted from Spark's external sort and
+    feed the digest one by one, so that no more than a batch of them is in memory. Null contents are empty.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in files.schema.fields}
+    group = F.to_json(F.struct(*by), {"ignoreNullFields": "false"})
+    rows = files.select(group.alias("_group"), F.col("path").cast("binary").alias("_path"), F.coalesce(F.col("content").cast("binary"), F.lit(b"")).alias("_content"))
+    ordered = rows.repartition("_group").sortWithinPartitions("_group", "_path", "_content")
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = lambda g, d: pa.record_batch([pa.array([g]), pa.array([d.hexdigest()])], names=["_group", "fingerprint"])
+        now, digest = None, None
+        for batch in batches:
+            for g, path, content in zip(*(batch.column(k) for k in range(3)), strict=True):
+                if digest is None or g.as_py() != now:
+                    if digest is not None:
+                        yield told(now, digest)
+                    now, digest = g.as_py(), hashlib.sha256()
+                digest.update(path.as_py() or b"")
+                digest.update(b"\0")
+                digest.update(content.as_py())
+                digest.update(b"\0")
+        if digest is not None:
+            yield told(now, digest)
+
+    found = ordered.mapInArrow(digests, "_group string, fingerprint string")
+    parsed = F.from_json("_group", ", ".join(f"`{c}` {kinds[c]}" for c in by))
+    return found.select(parsed.alias("_g"), "fingerprint").select(*[F.col(f"_g.{c}").alias(c) for c in by], "fingerprint")
 
 
 def grouped_sources(configs: DataFrame) -> DataFrame:

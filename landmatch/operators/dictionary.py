@@ -6,12 +6,11 @@ import re
 import unicodedata
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from landmatch.functions.dates import snapshot_date
+from landmatch.functions.geometry import call
 from landmatch.functions.keys import last_digits
 
 # Record types and the codes of the 16 states.
@@ -120,17 +119,15 @@ def reverse_by_ags(by_ars: DataFrame) -> DataFrame:
     return by_ars.withColumn("ags", ags).withColumn("_n", F.row_number().over(order)).where("_n = 1").select("ags", "ars", "name")
 
 
-@F.pandas_udf(T.StringType())
-def compatible_form(text: pd.Series) -> pd.Series:
-    """Unicode's compatibility form, which no SQL function gives."""
-    return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
-
-
 def name_form(text: Column) -> Column:
     """A name as it is searched: trimmed, single spaces, no zero-width spaces, compatibility form, lower case."""
     plain = F.regexp_replace(F.replace(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), F.lit("\u200b"), F.lit("")), r"(?U)\s+", " ")
-    # letters, digits and marks below the first composed forms have no other form: most names need no Python
-    return F.lower(F.when(plain.rlike(r"^[\x00-\x7fäöüÄÖÜßéèêëáàâíìîóòôúùûñçÉÈÊÁÀÂÓÚÑÇ]*$"), plain).otherwise(compatible_form(plain)))
+    return F.lower(call("Compatible", plain))
+
+
+def key_order(text: Column, strength: int = 2) -> Column:
+    """Bytes that sort texts as German does, digits by their value: 2 before 10."""
+    return call("SortKey", text, F.lit("de-u-kn-true"), F.lit(strength))
 
 
 def name_rank(name: Column, query: str) -> Column:
@@ -147,11 +144,11 @@ def name_rank(name: Column, query: str) -> Column:
 
 
 def search_names(entries: DataFrame, query: str, limit: int = 200) -> DataFrame:
-    """(kind, id, name, rank): the best rank of each (kind, id), by rank, then name without case and accents, then kind and id."""
+    """(kind, id, name, rank): the best rank of each (kind, id), by rank, then name without case and accents, then kind and id, its digits by value."""
     asked = re.sub(r"\s+", " ", unicodedata.normalize("NFKC", query.strip().replace("\u200b", ""))).lower()
     ranked = entries.withColumn("rank", name_rank(name_form(F.col("name")), asked)).where("rank is not null")
     best = ranked.groupBy("kind", "id").agg(F.min(F.struct("rank", "name")).alias("b")).select("kind", "id", "b.*")
-    return best.orderBy("rank", F.collate("name", "de_CI_AI"), "kind", F.length("id"), "id").limit(limit)
+    return best.orderBy("rank", F.collate("name", "de_CI_AI"), "kind", key_order(F.col("id")), "id").limit(limit)
 
 
 def best_source(candidates: DataFrame, errors: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from landmatch.functions.geometry import call
@@ -15,6 +15,7 @@ SYM_STRONG, SYM_GOOD, SYM_HIGH = 0.35, 0.75, 1.5
 AREA_STRONG, AREA_HIGH = 0.35, 1.2
 NORM_REVIEW, NORM_SEVERE = 0.02, 0.04
 Z_OUTLIER, Z_SCALE, MIN_SAMPLES = 3.5, 0.6745, 8
+BIN_BITS = 20
 #: Metric of each delta, in the order of the reasons.
 BASELINE = {"iou": "BASELINE_ANOMALY_IOU_DELTA", "symmetric_diff_pct": "BASELINE_ANOMALY_SYMDIFF_DELTA", "area_diff_pct": "BASELINE_ANOMALY_AREA_DELTA", "hausdorff_norm": "BASELINE_ANOMALY_HAUSDORFF_NORM_DELTA"}
 
@@ -71,6 +72,27 @@ def finite_max(column: Column) -> Column:
     return F.greatest(F.coalesce(F.max(F.when(~F.isnan(column) & (F.abs(column) < float("inf")), column)), F.lit(0.0)), F.lit(0.0))
 
 
+def exact_medians(values: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """(by.., name, n): the exact median of each group, the mean of the two middle values of an even count.
+
+    No task holds a group. Equal values become one row with a count before the first shuffle. Then the middle ranks are
+    looked up in a histogram over the first BIN_BITS bits of the values in the doubles' order, which has 256 bins for
+    each power of two, and only the values that share a bin with a middle one are put in order. Groups must not be null.
+    """
+    counted = values.groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n")).withColumn("_b", call("OrderedBits", F.col("_v")))
+    binned = counted.withColumn("_bin", F.shiftright("_b", 64 - BIN_BITS))
+    bins = binned.groupBy(*by, "_bin").agg(F.sum("_n").alias("_in"))
+    whole = Window.partitionBy(*by)
+    ranked = bins.withColumns({"_upto": F.sum("_in").over(whole.orderBy("_bin")), "n": F.sum("_in").over(whole)})
+    middle = ranked.withColumns({"_low": F.expr("(n - 1) div 2") - F.col("_upto") + F.col("_in"), "_high": F.expr("n div 2") - F.col("_upto") + F.col("_in")})
+    here = lambda rank: (F.col(rank) >= 0) & (F.col(rank) < F.col("_in"))
+    chosen = middle.where(here("_low") | here("_high")).select(*by, "_bin", "n", "_low", "_high")
+    placed = binned.join(chosen, [*by, "_bin"]).withColumn("_last", F.sum("_n").over(Window.partitionBy(*by, "_bin").orderBy("_b")))
+    holds = lambda rank: (F.col("_last") - F.col("_n") <= F.col(rank)) & (F.col(rank) < F.col("_last"))
+    found = placed.where(holds("_low") | holds("_high"))
+    return found.groupBy(*by).agg(((F.min("_v") + F.max("_v")) / 2).alias(name), F.max("n").alias("n"))
+
+
 def anomalies(rows: DataFrame, by: list[str], key: str, metrics: dict[str, str] = BASELINE) -> DataFrame:
     """(by.., key, reasons): keys whose change in a metric stands out among the group's changes by the modified z-score.
 
@@ -81,9 +103,9 @@ def anomalies(rows: DataFrame, by: list[str], key: str, metrics: dict[str, str]
     deltas = F.array(*[F.struct(F.lit(k).alias("rank"), F.abs(F.col(m) - F.col(f"prev_{m}")).alias("delta")) for k, m in enumerate(names)])
     long = rows.select(*by, key, F.explode(deltas).alias("d")).select(*by, key, "d.*").where(F.col("delta").isNotNull() & ~F.isnan("delta"))
     group = [*by, "rank"]
-    middle = long.groupBy(*group).agg(F.median("delta").alias("med"), F.count("*").alias("n")).where(F.col("n") >= MIN_SAMPLES)
+    middle = exact_medians(long, group, "delta", "med").where(F.col("n") >= MIN_SAMPLES)
     off = long.join(middle, group).withColumn("off", F.abs(F.col("delta") - F.col("med")))
-    spread = off.groupBy(*group).agg(F.median("off").alias("mad"))
+    spread = exact_medians(off, group, "off", "mad").drop("n")
     out = off.join(spread, group).where(F.when(F.col("mad") > 1e-9, Z_SCALE * F.col("off") / F.col("mad") > Z_OUTLIER).otherwise(F.col("off") > 1e-9))
     reasons = F.array(*[F.lit(r) for r in metrics.values()])
     found = out.groupBy(*by, key).agg(F.array_sort(F.collect_set("rank")).alias("ranks"))

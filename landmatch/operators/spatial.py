@@ -138,6 +138,36 @@ def eligible_points(points: DataFrame, levels: list[str] | None = None, ignored:
     return kept
 
 
+def point_hits(rows: DataFrame, points: DataFrame, by: list[str], cell: float) -> DataFrame:
+    """Pairs of a row whose box holds a point, each once; the point's columns get the prefix r_.
+
+    A row stands in the cells of its own level, four at most; a point is asked once at each level that rows have.
+    """
+    corner = [F.col(c) for c in ("x0", "y0", "x1", "y1")]
+    own = level_of(*corner, cell)
+    stored = rows.where(F.col("x0").isNotNull()).withColumn("_cell", F.explode(cells(*corner, own, cell)))
+    levels = rows.where(F.col("x0").isNotNull()).select(own.alias("_level")).distinct()
+    size = F.lit(cell) * F.pow(F.lit(4.0), F.col("_level"))
+    at = F.struct(F.col("_level").alias("level"), F.floor(F.col("x0") / size).alias("i"), F.floor(F.col("y0") / size).alias("j"))
+    asked = points.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))).join(F.broadcast(levels), "_level", "left_semi").withColumn("_cell", at)
+    a, b = stored.alias("a"), asked.select(*[F.col(c).alias(f"r_{c}") for c in points.columns], "_cell").alias("b")
+    inside = F.col("r_x0").between(F.col("x0"), F.col("x1")) & F.col("r_y0").between(F.col("y0"), F.col("y1"))
+    return a.join(b, [*[F.col(f"a.{c}") == F.col(f"b.r_{c}") for c in by], F.col("a._cell") == F.col("b._cell"), inside]).select("a.*", *[f"b.r_{c}" for c in points.columns]).drop("_cell")
+
+
+def points_in_polygons(rows: DataFrame, points: DataFrame, official_keys: DataFrame, by: list[str], key: str, cell: float, fields: tuple[str, ...] = ("name", "admin_level", "regional", "amtlicher"), factor: float = SHRINK) -> DataFrame:
+    """(by.., key, candidates): the candidate points in each row's polygon shrunk about its centroid.
+
+    rows: by.., key, geom (WKB in the points' coordinates, or null); points, official_keys and fields as for
+    ``candidate_points``. Boxes of the shrunk polygons find the points; then each polygon is indexed by its edges once
+    and asked for all points that a task has for it.
+    """
+    small = rows.withColumn("geom", call("Shrink", "geom", F.lit(factor))).withColumn("_box", call("Envelope", "geom"))
+    boxed = small.select(*by, key, "geom", *[F.col(f"_box.{c}").alias(n) for c, n in zip("wsen", ("x0", "y0", "x1", "y1"), strict=True)])
+    hits = point_hits(boxed, points, by, cell).where(call("HoldsPoint", "geom", "r_x0", "r_y0")).drop("geom")
+    return listed(rows, hits, official_keys, by, key, fields)
+
+
 def candidate_points(rows: DataFrame, points: DataFrame, official_keys: DataFrame, by: list[str], key: str, cell: float, covers: Column, fields: tuple[str, ...] = ("name",)) -> DataFrame:
     """(by.., key, candidates): points inside each row, relations first, then by id; rows without a hit have an empty list.
 
@@ -145,17 +175,21 @@ def candidate_points(rows: DataFrame, points: DataFrame, official_keys: DataFram
     and the text columns ``fields`` that candidates carry, blanks as null. A point whose own key belongs to another
     official row is dropped; one with the row's own key stays.
     """
-    hits = grid_pairs(rows, points, by, cell).where(covers)
+    return listed(rows, point_hits(rows, points, by, cell).where(covers), official_keys, by, key, fields)
+
+
+def listed(rows: DataFrame, hits: DataFrame, official_keys: DataFrame, by: list[str], key: str, fields: tuple[str, ...]) -> DataFrame:
+    """The hits of each row as a list, without points of other rows' keys."""
     taken = official_keys.select(*[F.col(c).alias(f"k_{c}") for c in by], F.col(key).alias("k_key"))
-    foreign = [*[F.col(c) == F.col(f"k_{c}") for c in by], F.col("r_canonical") == F.col("k_key"), F.col("r_canonical") != F.col(key)]
+    foreign = [*[F.col(c) == F.col(f"k_{c}") for c in by], F.col("r_canonical") == F.col("k_key"), F.col("r_canonical") != F.col(key), F.col("r_canonical") != ""]
     free = hits.join(taken, foreign, "left_anti")
     rank = F.when(F.col("r_osm_type") == "relation", 0).otherwise(1)
     carried = [F.nullif(F.trim(F.col(f"r_{c}")), F.lit("")).alias(c) for c in fields]
     # of points of one object, one is listed
     one = free.groupBy(*by, key, rank.alias("_rank"), F.col("r_osm_id").alias("_id")).agg(F.min(F.struct(rank.alias("rank"), F.col("r_osm_id").alias("osm_id"), F.col("r_osm_type").alias("osm_type"), *carried)).alias("_c"))
-    listed = one.groupBy(*by, key).agg(F.array_sort(F.collect_list("_c")).alias("candidates"))
+    lists = one.groupBy(*by, key).agg(F.array_sort(F.collect_list("_c")).alias("candidates"))
     empty = F.array().cast(f"array<struct<rank:int,osm_id:bigint,osm_type:string,{','.join(f'{c}:string' for c in fields)}>>")
-    return rows.select(*by, key).join(listed, [*by, key], "left").withColumn("candidates", F.coalesce("candidates", empty))
+    return rows.select(*by, key).join(lists, [*by, key], "left").withColumn("candidates", F.coalesce("candidates", empty))
 
 
 def row_bbox() -> list[Column]:

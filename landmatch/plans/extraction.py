@@ -105,7 +105,8 @@ def written_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey, lower(regexp_replace(trim(p_name), '\\s+', ' ', 'g')) || ' 1/2' AS form FROM part")
 def name_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names as they are searched: with a no-break space, a zero-width space and a fullwidth digit, which Python's form resolves."""
+    """Names as they are searched: with a no-break space, a zero-width space and a fullwidth digit, which the compatibility form resolves."""
+    geometry.register(spark)
     text = F.concat(F.lit(" "), F.upper("p_name"), F.lit(" ​１/2 "))
     return table(spark, sf_dir, "part").select("p_partkey", dictionary.name_form(text).alias("form"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from landmatch.operators.history import fold_runs, upsert_snapshots
+from landmatch.streaming.state import events_so_far
 
 LOG = "kind string, run_id string, at timestamp_ntz, seq bigint, step string, dataset string, status string, duration_ms bigint"
 
@@ -15,21 +16,18 @@ def read_log(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(LOG).json(folder)
 
 
-def fold_stream(events: DataFrame, log: str, table: str, checkpoint: str) -> StreamingQuery:
-    """Appends new events to the Parquet log and keeps the table of folded runs up to date; a replayed batch changes nothing.
+def fold_stream(events: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+    """Keeps the table of folded runs up to date; a replayed batch changes nothing.
 
-    Only the runs of the batch are folded anew, from all of their events so far. Each batch's result is a folder of
-    its own below the table, named by the batch, so that a batch which is run again overwrites only itself.
+    Only the runs of the batch are folded anew, from all of their events so far, which are the runs' state: no batch
+    reads the log again. Each batch's result is a folder of its own below the table, named by the batch, so that a
+    batch which is run again overwrites only itself.
     """
 
-    def fold(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{log}/batch={number}")
-        spark = batch.sparkSession
-        touched = batch.select("run_id").distinct()
-        whole = spark.read.parquet(log).where(f"batch <= {number}").drop("batch").join(touched, "run_id", "left_semi")
-        fold_runs(whole).write.mode("overwrite").parquet(f"{table}/batch={number}")
+    def fold(touched: DataFrame, number: int) -> None:
+        fold_runs(touched).write.mode("overwrite").parquet(f"{table}/batch={number}")
 
-    return events.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return events_so_far(events, "run_id").writeStream.outputMode("update").foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def current_runs(spark: SparkSession, table: str) -> DataFrame:
