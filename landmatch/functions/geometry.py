@@ -28,7 +28,7 @@ FUNCTIONS = {
     "FromText": T.BinaryType(), "AsText": T.StringType(), "Area": T.DoubleType(), "Length": T.DoubleType(), "Envelope": _double("w", "s", "e", "n"),
     "Multi": T.BinaryType(), "UnionAll": T.BinaryType(), "Intersects": T.BooleanType(), "Covers": T.BooleanType(), "Centroid": T.BinaryType(),
     "PointOnSurface": T.BinaryType(), "Difference": T.BinaryType(), "Shrink": T.BinaryType(), "Simplify": T.BinaryType(), "Measures": _double(*MEASURES),
-    "ToUtm": T.BinaryType(), "GeodesicArea": T.DoubleType(),
+    "ToUtm": T.BinaryType(), "FromUtm": T.BinaryType(), "GeodesicArea": T.DoubleType(),
     "Compatible": T.StringType(), "SortKey": T.BinaryType(), "OrderedBits": T.LongType(),
     "HoldsPoint": T.BooleanType(), "XmlFeatures": T.ArrayType(FEATURE), "RelationPolygons": T.BinaryType(),
 }
