@@ -40,3 +40,8 @@ def admin_candidates(levels: list[str]) -> Column:
 
 def postal_rows() -> Column:
     return (F.col("boundary") == "postal_code") & has_text(F.col("postal_code"))
+
+
+def postal_candidates() -> Column:
+    """Any postal boundary, with a code or without."""
+    return F.coalesce(F.col("boundary") == "postal_code", F.lit(False))

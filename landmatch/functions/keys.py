@@ -209,3 +209,9 @@ def licence_fingerprint(*parts: Column) -> Column:
 def postal_bucket(value: Column) -> Column:
     """Last digit, 0 without any."""
     return F.coalesce(F.right(digits(value), F.lit(1)).try_cast("int"), F.lit(0))
+
+
+def link_value(value: Column) -> Column:
+    """A text or number that can be looked up: trimmed, with a digit in it; otherwise null."""
+    text = F.trim(value.cast("string"))
+    return F.when(text.rlike("[0-9]"), text)

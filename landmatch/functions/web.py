@@ -161,9 +161,13 @@ def metadata_url(capabilities: Column) -> Column:
     return F.nullif(F.trim(xml_unescape(found)), F.lit(""))
 
 
+#: Words of errors that pass.
+PASSING = "unable to connect|connectionrefused|connection reset|timed out|econnrefused|econnreset|network"
+
+
 def transient(message: Column) -> Column:
     """Whether an error is worth another attempt."""
-    return F.lower(message).rlike("unable to connect|connectionrefused|connection reset|timed out|econnrefused|econnreset|network")
+    return F.lower(message).rlike(PASSING)
 
 
 def row_key(source: Column, kind: Column, ident: Column, index: Column) -> Column:
@@ -176,6 +180,43 @@ def editor_zoom(w: Column, s: Column, e: Column, n: Column) -> Column:
     return F.least(F.greatest(F.floor(14 - F.log2(span * 45) + 0.5), F.lit(11)), F.lit(18)).cast("int")
 
 
+#: Addresses of the editors, and what the web editor hides.
+WEB_EDITOR, REMOTE_CONTROL, OBJECT_PAGE = "https://ideditor.netlify.app/", "http://127.0.0.1:8111", "https://www.openstreetmap.org/relation/"
+HIDDEN = "address_points,points,service_roads,paths,buildings,building_parts,indoor,landuse,rail,pistes,aerialways,power,past_future"
+
+
+def component(text: Column) -> Column:
+    """A text as part of an address, as browsers encode it."""
+    out = F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+    for code, char in (("%7E", "~"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")")):
+        out = F.replace(out, F.lit(code), F.lit(char))
+    return out
+
+
+def editor_links(box: tuple[Column, Column, Column, Column], relation: Column, geojson: Column, hashtag: str) -> Column:
+    """(edit, browse, load, import) addresses of a row: the web editor at the row's place, the object's page, and two calls of the desktop editor's remote control.
+
+    box: west, south, east, north, null without a place; relation: number or null; geojson: address of the official
+    shape or null. The changeset's hashtag is the caller's.
+    """
+    w, s, e, n = box
+    view = F.when(w.isNotNull(), F.concat(editor_zoom(w, s, e, n).cast("string"), F.lit("/"), F.format_string("%.6f", (s + n) / 2), F.lit("/"), F.format_string("%.6f", (w + e) / 2)))
+    pair = lambda name, value: F.concat(F.lit(f"{name}="), F.url_encode(value))
+    ident = F.concat(F.lit("r"), relation.cast("string"))
+    anchor = F.concat_ws("&", pair("map", view), pair("id", ident), pair("disable_features", F.lit(HIDDEN)), pair("gpx", geojson), pair("hashtags", F.lit(hashtag)))
+    tagged = F.concat(F.lit("changeset_hashtags="), component(F.lit(hashtag)))
+    return F.struct(
+        F.concat(F.lit(f"{WEB_EDITOR}#"), anchor).alias("edit"), F.concat(F.lit(OBJECT_PAGE), component(relation.cast("string"))).alias("browse"),
+        F.concat(F.lit(f"{REMOTE_CONTROL}/load_object?relation_members=true&objects="), ident, F.lit("&"), tagged).alias("load"),
+        F.concat(F.lit(f"{REMOTE_CONTROL}/import?new_layer=true&"), tagged, F.lit("&url="), component(geojson)).alias("import"),
+    )
+
+
+def is_postal(preset: Column, boundary: Column) -> Column:
+    """Whether a data set is one of postal codes."""
+    return F.coalesce(preset == "plz-5", F.lit(False)) | F.coalesce(boundary == "postal_code", F.lit(False))
+
+
 def map_view(text: Column) -> Column:
     """(zoom, lat, lon) of ``zoom/lat/lon`` within the map's limits, else null. A part may have a tail that is no number."""
     p = F.split(text, "/")

@@ -63,6 +63,31 @@ def latest_value(runs: DataFrame, by: list[str], run: str, value: str) -> DataFr
     return finite.groupBy(*by).agg(F.max_by(value, run).alias(value))
 
 
+def chart_series(runs: DataFrame, rows: DataFrame, by: list[str], run: str, mean: str, value: str) -> DataFrame:
+    """(by.., run, mean): the runs with a finite mean; groups without one have ``current``, the mean of their rows' values."""
+    finite = runs.where(F.col(mean).isNotNull() & ~F.isnan(mean) & (F.abs(mean) < float("inf"))).select(*by, F.col(run).cast("string").alias(run), mean)
+    now = rows.groupBy(*by).agg(F.coalesce(F.avg(value), F.lit(0.0)).alias(mean)).select(*by, F.lit("current").alias(run), mean)
+    return finite.unionByName(now.join(finite.select(*by).distinct(), by, "left_anti"))
+
+
+def licence_table(summaries: DataFrame, areas: DataFrame) -> DataFrame:
+    """(place, merge_key, area, members): licence summaries (area, merge_key) grouped, in the order of the areas (area, place).
+
+    A group stands at the place of its first area, which represents it; areas without a summary are left out. One area
+    has one summary; a later one of the same area counts, as summaries are looked up by area.
+    """
+    placed = areas.join(summaries, "area").select("place", "area", "merge_key")
+    grouped = placed.groupBy("merge_key").agg(F.array_sort(F.collect_list(F.struct("place", "area"))).alias("_m"))
+    return grouped.select(F.get("_m", F.lit(0)).place.alias("place"), "merge_key", F.get("_m", F.lit(0)).area.alias("area"), F.transform("_m", lambda x: x.area).alias("members"))
+
+
+def feature_shards(rows: DataFrame, candidates: DataFrame, by: list[str], key: str) -> DataFrame:
+    """(by.., key, shard): one JSON document per row, with the row's candidates where it has a list, an empty one too."""
+    carried = rows.join(candidates.select(*by, key, "candidates"), [*by, key], "left")
+    row = F.struct(*[c for c in rows.columns if c not in by])
+    return carried.select(*by, key, F.to_json(F.struct(row.alias("row"), F.col("candidates"))).alias("shard"))
+
+
 def expected_tags(official: DataFrame, by: list[str]) -> DataFrame:
     """(by.., official_key, official_value, tags, expected): the tags that official properties (by.., name, value) should have."""
     tags = F.create_map(*[x for k, v in EXPECTED_TAGS.items() for x in (F.lit(k), F.array(*[F.lit(t) for t in v]))])

@@ -46,3 +46,17 @@ def merged_metadata(base: DataFrame, patch: DataFrame, by: list[str]) -> DataFra
     values = [c for c in base.columns if c not in by]
     renamed = patch.select(*by, *[F.col(c).alias(f"_{c}") for c in values])
     return base.join(renamed, by, "full_outer").select(*by, *[F.coalesce(f"_{c}", c).alias(c) for c in values])
+
+
+def write_documents(rows: DataFrame, path: str, key: str, document: str, buckets: int = 32) -> None:
+    """One JSON document per key, as lines in buckets of the key: an index or dictionary too large for one file.
+
+    A key must be there once and its document must be JSON; otherwise nothing is written.
+    """
+    keyed = rows.select(F.col(key).cast("string").alias("key"), F.col(document).alias("document"))
+    broken = keyed.where(F.col("key").isNull() | F.get_json_object("document", "$").isNull()).select("key").limit(1).collect()
+    twice = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key").limit(1).collect()
+    if broken or twice:
+        raise ValueError(f"{'no document for' if broken else 'two documents for'} key {(broken or twice)[0]['key']!r}")
+    spread = keyed.withColumn("key_bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    spread.repartition("key_bucket").sortWithinPartitions("key_bucket", "key").write.mode("overwrite").partitionBy("key_bucket").json(path)

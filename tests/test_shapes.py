@@ -9,9 +9,10 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from landmatch.functions import geometry
+from landmatch.functions import geometry, web
 from landmatch.functions.geometry import call
 from landmatch.operators import answers, audit, dictionary, metrics, spatial
+from landmatch.sources import sinks
 
 
 @pytest.fixture(autouse=True)
@@ -134,3 +135,29 @@ def test_fingerprints(spark):
     got = {(r["owner"], r["part"]): r["fingerprint"] for r in audit.fingerprint(df, ["owner", "part"]).collect()}
     assert got == {("a", None): digest(b"b/10", b"ten", b"b/2", b"again", b"b/2", b"two"), ("a", 1): digest(b"x", b""), ("ü", 1): digest(b"x", b"")}
     assert audit.fingerprint(df.limit(0), ["owner"]).collect() == []
+
+
+def test_documents_by_key(spark, tmp_path):
+    rows = spark.createDataFrame([(f"k{k}", f'{{"n":{k}}}') for k in range(40)], "key string, document string")
+    sinks.write_documents(rows, str(tmp_path / "d"), "key", "document", buckets=4)
+    stored = spark.read.json(str(tmp_path / "d"))
+    assert sorted((r["key"], r["document"]) for r in stored.collect()) == sorted((f"k{k}", f'{{"n":{k}}}') for k in range(40))
+    for bad, why in ((rows.union(rows.limit(1)), "two documents"), (rows.limit(3).withColumn("document", F.lit("{")), "no document")):
+        with pytest.raises(ValueError, match=why):
+            sinks.write_documents(bad, str(tmp_path / "e"), "key", "document")
+    assert not (tmp_path / "e").exists()
+
+
+def test_editor_links(spark):
+    null = F.lit(None).cast("double")
+    box = tuple(F.lit(x) for x in (13.0, 52.0, 13.5, 52.25))
+    link = lambda *x: spark.range(1).select(web.editor_links(*x, "a~b c").alias("l")).first()["l"]
+    full = link(box, F.lit(5), F.lit("https://h/ü (1).json"))
+    assert full["edit"].startswith(f"{web.WEB_EDITOR}#map=11%2F52.125000%2F13.250000&id=r5&disable_features=address_points%2Cpoints")
+    assert full["edit"].endswith("&gpx=https%3A%2F%2Fh%2F%C3%BC+%281%29.json&hashtags=a%7Eb+c")
+    assert full["browse"] == f"{web.OBJECT_PAGE}5"
+    assert full["load"] == f"{web.REMOTE_CONTROL}/load_object?relation_members=true&objects=r5&changeset_hashtags=a~b%20c"
+    assert full["import"] == f"{web.REMOTE_CONTROL}/import?new_layer=true&changeset_hashtags=a~b%20c&url=https%3A%2F%2Fh%2F%C3%BC%20(1).json"
+    bare = link((null,) * 4, F.lit(None).cast("long"), F.lit(None).cast("string"))
+    assert bare["edit"] == f"{web.WEB_EDITOR}#disable_features={web.HIDDEN.replace(',', '%2C')}&hashtags=a%7Eb+c"
+    assert (bare["browse"], bare["load"], bare["import"]) == (None, None, None)
