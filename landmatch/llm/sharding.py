@@ -161,7 +161,9 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int = 40, key: str = "do
 def rewrite(spark: SparkSession, folder: str, assigned: DataFrame, key: str = "doc_id", column: str = "shard") -> list[int]:
     """Rewrites the shards (folder/shard=N) that lose or gain rows; the others keep their files. Returns the rewritten shards.
 
-    assigned: (key, old_shard, shard) of every row of the folder, keys distinct. New files are written beside the old
+    assigned: (key, old_shard, shard) of every row of the folder. Rows that share a key and a shard are told apart by
+    numbers on both sides: each is moved once, whichever of the targets it gets. A stored row without a target, or a
+    target without a row, raises before any file is touched. New files are written beside the old
     ones; once they are complete, each old shard is set aside before the new one takes its place, and what was set
     aside goes last. A rename that fails takes back those before it and raises: no state lacks a row.
     """
@@ -172,8 +174,15 @@ def rewrite(spark: SparkSession, folder: str, assigned: DataFrame, key: str = "d
         return []
     run = uuid.uuid4().hex
     staged, aside = (f"{folder.rstrip('/')}-{kind}-{run}" for kind in ("staged", "replaced"))
-    changed = stored.where(F.col(column).isin(touched)).join(moves.select(key, "_to"), key)
-    changed.drop(column).withColumnRenamed("_to", column).write.partitionBy(column).parquet(staged)
+    copies = lambda shard, order: F.row_number().over(Window.partitionBy(key, shard).orderBy(order))
+    held = stored.where(F.col(column).isin(touched)).withColumn("_copy", copies(column, F.xxhash64(*stored.columns)))
+    meant = moves.where(F.col("old_shard").isin(touched)).select(F.col(key).alias("_key"), F.col("old_shard").alias("_from"), "_to", copies("old_shard", "_to").alias("_nth"))
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col(column) == F.col("_from")) & (F.col("_copy") == F.col("_nth"))
+    lost = held.join(meant, same, "full").where(F.col("_from").isNull() | F.col("_copy").isNull()).select(F.coalesce(F.col(key), F.col("_key")).alias("key")).limit(1).collect()
+    if lost:
+        raise ValueError(f"the plan and the stored shards differ in the rows of key {lost[0]['key']!r}")
+    changed = held.join(meant, same)
+    changed.select(*[c for c in stored.columns if c != column], F.col("_to").alias(column)).write.partitionBy(column).parquet(staged)
     path = spark._jvm.org.apache.hadoop.fs.Path
     files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
     at = lambda root, shard: path(f"{root}/{column}={shard}")

@@ -303,6 +303,23 @@ def test_rewrite_touches_only_changed_shards(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "shards/shard=2").iterdir()) == untouched
 
 
+def test_rewrite_of_repeated_keys(spark, tmp_path):
+    rows = [(1, "a", 0), (1, "b", 0), (1, "b", 0), (1, "c", 1), (None, "n", 0), (2, "z", 2)]
+    folder = str(tmp_path / "shards")
+    schema = "doc_id long, text string, shard int"
+    spark.createDataFrame(rows, schema).write.partitionBy("shard").parquet(folder)
+    targets = [1, 1, 0, 1, 2, 2]
+    plan = [(k, s, to) for (k, _, s), to in zip(rows, targets, strict=True)]
+    moves = lambda rows: spark.createDataFrame(rows, "doc_id long, old_shard int, shard int")
+    for wrong in (plan[1:], [*plan, (9, 0, 1)]):
+        with pytest.raises(ValueError, match="differ"):
+            sharding.rewrite(spark, folder, moves(wrong))
+    assert sharding.rewrite(spark, folder, moves(plan)) == [0, 1, 2]
+    got = [tuple(r) for r in spark.read.parquet(folder).select("doc_id", "text", "shard").collect()]
+    assert sorted(t for _, t, _ in got) == sorted(t for _, t, _ in rows)
+    assert sorted((str(k), s) for k, _, s in got) == sorted((str(k), to) for (k, _, _), to in zip(rows, targets, strict=True))
+
+
 def test_failed_rename_leaves_the_shards(spark, tmp_path, monkeypatch):
     rows = [(k, f"t{k}", k % 3) for k in range(9)]
     folder = str(tmp_path / "shards")
