@@ -8,7 +8,8 @@ matrix. Pieces over LONG symbols, whose rounds would cost their length squared,
 merges from a heap.
 
 Defined cases: a null text counts as empty and has no ids; special tokens have no meaning in a
-text; other columns pass through unless they carry an output's name. Decoding is exact: the
+text; repeated rows are encoded one by one; an empty table gives an empty result; other columns pass
+through unless they carry an output's name. Decoding is exact: the
 concatenated bytes of the ids, whether or not they are valid UTF-8.
 """
 

@@ -15,7 +15,9 @@ at least 1/HEAVY of all tokens (so at most HEAVY, and short ones only) are broad
 place; all others are joined as one row per (batch, word) that lists the rows it stands in.
 
 Defined cases: a null text counts as empty and is the end token alone; without training rows every
-count is 0 and V is 0; repeated rows are scored one by one; an empty table gives an empty result.
+count is 0 and V is 0; repeated rows are scored one by one; an empty table gives an empty result; only key and text are
+read, so other columns may have any name. A text may be of any length; a single word takes time, and memory of
+about 200 bytes for each of its bytes, in proportion to its length (10 s for 100,000 bytes), so words of megabytes are slow.
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@ place alone, so nothing but the totals is shuffled. All windows but the last are
 
 Defined cases: a null text counts as empty; an empty text is the end id alone; an empty table has
 no pieces; repeated rows are packed one by one; a text of any length is cut over as many windows
-as it needs.
+as it needs; only key and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
