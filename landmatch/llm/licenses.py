@@ -2,27 +2,37 @@
 
 The units of a text are its lines, its paragraphs of several lines (between blank lines) and the text as a whole, so
 that a notice wrapped over lines is found inside a longer document. A unit of n bigrams can reach a Dice
-coefficient of t only against templates of n t / (2 - t) to n (2 - t) / t bigrams; other
-templates, and units outside all of these bounds, are pruned before any bigram is compared. The
-template table is a fixed list in this file, so its bigrams are broadcast; a unit's bigrams meet
-only those it shares with a template.
+coefficient of t only against templates of n t / (2 - t) to n (2 - t) / t bigrams. Three bounds follow from
+this, none of which loses a match: texts and units that hold none of a few words of the templates
+(`anchors`) are left as they are, units outside all sizes are pruned, and so are those of
+which fewer than n t / (2 - t) bigrams stand in any template. Only what is left becomes rows. The
+template table is a fixed list in this file, with texts of a bounded folder if wanted
+(`read_templates`), so its bigrams are broadcast.
 
 Defined cases: a null or blank text matches nothing; a unit of one word has no bigram and is compared
 as that word; of equal coefficients the first licence by name wins, then the first unit; rows that
-repeat a doc_id are one document with the units of all; an empty table gives an empty result; the
-output has one row per key, without the other columns.
+repeat a doc_id are one document with the units of all, those of one place and
+the same words once; a null key is a key; an empty table gives an empty result; the output has one row per key,
+without the other columns.
 """
 
 from __future__ import annotations
 
+import math
+import operator
 import re
 from collections import Counter
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from landmatch.llm.quality import STOP_WORDS
+
 LEAST = 0.8
 PARAGRAPH = r"\n[ \t]*\n"
+#: Of licence texts read from a folder; they are broadcast.
+MAX_TEMPLATE_BYTES = 8 << 20
 
 # The passages by which works carry or name their licence.
 MIT_GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
@@ -99,35 +109,83 @@ def template_bigrams(templates) -> list[tuple[int, str, int, str, int]]:
     return out
 
 
+def anchors(templates=TEMPLATES, least: float = LEAST) -> list[str]:
+    """Words of which every unit that is similar to a template holds at least one, as a part of a word.
+
+    A unit of Dice ``least`` shares at least t * least / (2 - least) of a template's t bigrams. So if more than the
+    others hold an anchor, the shared ones cannot all be without. Words of five characters or more that are no stop words are taken first, as they are rarer elsewhere.
+    """
+    wide = least / (2 - least)
+    notices = []
+    for _, notice in templates:
+        words = re.findall(r"[a-z0-9]+", notice.lower())
+        grams = [(a, b) for a, b in zip(words, words[1:], strict=False)] or [(w,) for w in words]
+        notices.append((grams, len(grams) - math.ceil(len(grams) * wide - 1e-9) + 1))
+    chosen: list[str] = []
+    while True:
+        open_ = [(grams, need - sum(any(c in w for c in chosen for w in g) for g in grams)) for grams, need in notices]
+        gain: Counter = Counter()
+        for grams, need in open_:
+            if need > 0:
+                bare = [g for g in grams if not any(c in w for c in chosen for w in g)]
+                for word in {w for g in bare for w in g}:
+                    gain[word] += min(need, sum(any(word in w for w in g) for g in bare))
+        if not gain:
+            return sorted(chosen)
+        chosen.append(max(sorted(gain), key=lambda w: (w not in STOP_WORDS, min(len(w), 5), gain[w] * len(w))))
+
+
+def read_templates(spark: SparkSession, path: str) -> tuple[tuple[str, str], ...]:
+    """(name, text) of every file below ``path``, named by the file, to be added to TEMPLATES: whole licence texts.
+
+    The table is held by the driver and broadcast, so folders of more than MAX_TEMPLATE_BYTES are an error.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    size = files.agg(F.sum("length")).first()[0] or 0
+    if size > MAX_TEMPLATE_BYTES:
+        raise ValueError(f"{size} bytes of licence texts are more than {MAX_TEMPLATE_BYTES}")
+    named = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.decode("content", "UTF-8").alias("notice"))
+    return tuple((r.name, r.notice) for r in named.orderBy("name").collect())
+
+
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST, templates=TEMPLATES) -> DataFrame:
-    """(key, line, license, dice): every unit's best licence of at least ``least``; line is -1 for the whole text and -2, -3 .. for its first, second .. paragraph."""
+    """(key, line, unit, license, dice): every unit's best licence of at least ``least``; line is -1 for the whole text and -2, -3 .. for its first, second .. paragraph; unit is a hash of its words."""
     spark = docs.sparkSession
     rows = template_bigrams(templates)
     known = F.broadcast(spark.createDataFrame(rows, "template int, license string, t_size int, gram string, t_times int"))
     sizes = sorted({r[2] for r in rows})
     wide = least / (2 - least)
-    lines = F.split(F.col(text), "\n")
-    whole = F.when(F.size(lines) > 1, F.array(F.struct(F.lit(-1).alias("line"), F.col(text).alias("unit")))).otherwise(F.array().cast("array<struct<line:int,unit:string>>"))
-    split = F.split(F.col(text), PARAGRAPH)
+    marks = anchors(templates, least)
+    holds = lambda low: reduce(operator.or_, [F.contains(low, F.lit(w)) for w in marks])
+
+    # texts and units without an anchor are left before any word is cut; of n characters are at most n / 2 words
+    low = docs.select(F.col(key), F.lower(F.col(text)).alias("_text")).where(F.exists(F.array(F.lower(F.col(text))), holds))
+    unit = "array<struct<line:int,unit:string>>"
+    lines, split = F.split("_text", "\n"), F.split("_text", PARAGRAPH)
+    whole = F.when(F.contains("_text", F.lit("\n")), F.array(F.struct(F.lit(-1).alias("line"), F.col("_text").alias("unit")))).otherwise(F.array().cast(unit))
     several = F.filter(F.transform(split, lambda x, k: F.struct((-2 - k).alias("line"), x.alias("unit"))), lambda p: p["unit"].contains("\n"))
-    paragraphs = F.when(F.size(split) > 1, several).otherwise(F.array().cast("array<struct<line:int,unit:string>>"))
+    paragraphs = F.when(F.size(split) > 1, several).otherwise(F.array().cast(unit))
     units = F.concat(whole, paragraphs, F.transform(lines, lambda x, k: F.struct(k.alias("line"), x.alias("unit"))))
-    # a cheap bound first: a unit of n characters has at most n / 2 words, too few for the shortest template
-    each = docs.select(key, F.explode(F.filter(units, lambda u: F.length(u["unit"]) >= 2 * sizes[0] * wide)).alias("u"))
-    words = each.select(key, "u.line", F.array_remove(F.split(F.lower("u.unit"), "[^a-z0-9]+"), "").alias("w")).where(F.size("w") > 0)
+    each = low.select(key, F.explode(F.filter(units, lambda u: (F.length(u["unit"]) >= 2 * sizes[0] * wide) & holds(u["unit"]))).alias("u"))
+    words = each.select(key, "u.line", F.array_remove(F.split("u.unit", "[^a-z0-9]+"), "").alias("w")).where(F.size("w") > 0)
     sized = words.withColumn("n", F.greatest(F.size("w") - 1, F.lit(1)))
     bounded = sized.where((F.col("n") >= sizes[0] * wide) & (F.col("n") <= sizes[-1] / wide))
-    grams = bounded.select(key, "line", "n", F.explode(bigrams(F.col("w"))).alias("gram")).join(known, "gram")
-    pruned = grams.where((F.col("n") >= F.col("t_size") * wide) & (F.col("n") * wide <= F.col("t_size")))
-    shared = pruned.groupBy(key, "line", "n", "template", "license", "t_size", "gram", "t_times").agg(F.count("*").alias("times"))
-    dice = shared.groupBy(key, "line", "n", "template", "license", "t_size").agg((2 * F.sum(F.least("times", "t_times")) / (F.col("n") + F.col("t_size"))).alias("dice"))
+    # a unit that is similar to a template has n * wide bigrams or more that stand in one
+    grams = sorted({r[3] for r in rows})
+    held = bounded.select(key, "line", "n", F.xxhash64(F.array_join("w", " ")).alias("unit"), F.filter(bigrams(F.col("w")), lambda g: g.isin(grams)).alias("_grams"))
+    enough = held.where(F.size("_grams") >= F.col("n") * wide - 1e-9).dropDuplicates([key, "line", "unit"])
+    met = enough.select(key, "line", "unit", "n", F.explode("_grams").alias("gram")).join(known, "gram")
+    pruned = met.where((F.col("n") >= F.col("t_size") * wide) & (F.col("n") * wide <= F.col("t_size")))
+    shared = pruned.groupBy(key, "line", "unit", "n", "template", "license", "t_size", "gram", "t_times").agg(F.count("*").alias("times"))
+    dice = shared.groupBy(key, "line", "unit", "n", "template", "license", "t_size").agg((2 * F.sum(F.least("times", "t_times")) / (F.col("n") + F.col("t_size"))).alias("dice"))
     best = F.min_by(F.struct("license", "dice"), F.struct(-F.col("dice"), F.col("license")))
-    return dice.where(F.col("dice") >= least).groupBy(key, "line").agg(best.alias("b")).select(key, "line", "b.license", "b.dice")
+    return dice.where(F.col("dice") >= least).groupBy(key, "line", "unit").agg(best.alias("b")).select(key, "line", "unit", "b.license", "b.dice")
 
 
-def licences(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
+def licences(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST, templates=TEMPLATES) -> DataFrame:
     """(key, n_matches, license, line, dice): one row per key; the best match, nulls where there is none."""
-    found = scan(docs, key, text, least)
+    found = scan(docs, key, text, least, templates)
     best = F.min_by(F.struct("license", "line", "dice"), F.struct(-F.col("dice"), F.col("license"), F.col("line")))
-    per = found.groupBy(key).agg(F.count("*").alias("n_matches"), best.alias("b")).select(key, "n_matches", "b.*")
-    return docs.select(key).distinct().join(per, key, "left").withColumn("n_matches", F.coalesce("n_matches", F.lit(0)).cast("long"))
+    per = found.groupBy(key).agg(F.count("*").alias("n_matches"), best.alias("b")).select(F.col(key).alias("_key"), "n_matches", "b.*")
+    rows = docs.select(F.col(key)).distinct()
+    return rows.join(per, rows[key].eqNullSafe(per["_key"]), "left").select(key, F.coalesce("n_matches", F.lit(0)).cast("long").alias("n_matches"), "license", "line", "dice")

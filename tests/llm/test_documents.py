@@ -246,6 +246,39 @@ def test_licence_texts(spark):
     assert {r.doc_id: r.n_matches for r in rows} == {k: brute_licence(t)[0] for k, (t, _) in texts.items()}
 
 
+def test_anchors_lose_no_unit():
+    """Whatever a unit keeps of a template, at the least Dice coefficient it holds an anchor."""
+    marks = licenses.anchors()
+    for _, notice in licenses.TEMPLATES:
+        words = re.findall("[a-z0-9]+", notice.lower())
+        grams = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+        bare = [g for g in grams if not any(m in w for m in marks for w in g.split())]
+        # the best that a unit without an anchor can do: all bare bigrams and no other
+        assert 2 * len(bare) / (len(bare) + len(grams)) < licenses.LEAST
+
+
+def test_licences_of_repeated_keys_ties_and_clashing_columns(spark):
+    """Rows of one key are one document; a null key is a key; columns named like outputs are not read."""
+    notice = "Released under the MIT License."
+    rows = [(1, notice, "x", 7), (1, notice, "y", 8), (1, "no\n" + notice, "z", 9), (None, notice, "n", 1), (2, None, "m", 2), (3, f"{notice}\n{notice}", "t", 3)]
+    found = licenses.licences(spark.createDataFrame(rows, "doc_id int, text string, license string, line int")).collect()
+    # key 1: the equal rows once, then line 1 and its whole text; key 3: two lines, and a whole text that is no longer like the notice
+    assert {r.doc_id: (r.n_matches, r.license, r.line) for r in found} == {1: (3, "MIT", 0), None: (1, "MIT", 0), 2: (0, None, None), 3: (2, "MIT", 0)}
+    assert len(found) == 4
+
+
+def test_whole_licence_texts_of_a_folder(spark, tmp_path):
+    """A long text given as a file is found as a whole text and as a paragraph among others, edited a little; half of it is not."""
+    rng = np.random.default_rng(5)
+    words = [f"clause{n}" for n in rng.integers(0, 900, 4000)]
+    (tmp_path / "House-1.0").write_text("\n".join(textwrap.wrap(" ".join(words), 70)))
+    templates = licenses.TEMPLATES + licenses.read_templates(spark, str(tmp_path))
+    edited = " ".join(w for k, w in enumerate(words) if k % 23)
+    texts = {0: "\n".join(textwrap.wrap(edited, 50)), 1: f"a preface of some words\n\n{'\n'.join(textwrap.wrap(edited, 90))}\n\nand an end", 2: " ".join(words[:2000]), 3: "Released under the MIT License."}
+    rows = licenses.licences(spark.createDataFrame(list(texts.items()), "doc_id int, text string"), templates=templates).collect()
+    assert {r.doc_id: r.license for r in rows} == {0: "House-1.0", 1: "House-1.0", 2: None, 3: "MIT"}
+
+
 # ---- resharding
 
 
