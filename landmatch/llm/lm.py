@@ -16,8 +16,8 @@ place; all others are joined as one row per (batch, word) that lists the rows it
 
 Defined cases: a null text counts as empty and is the end token alone; without training rows every
 count is 0 and V is 0; repeated rows are scored one by one; an empty table gives an empty result; only key and text are
-read, so other columns may have any name. A text may be of any length; a single word takes time, and memory of
-about 200 bytes for each of its bytes, in proportion to its length (10 s for 100,000 bytes), so words of megabytes are slow.
+read, so other columns may have any name. A text may be of any length, and so may a word: its time grows in
+proportion to its length, and its scoring takes some tens of megabytes beside the word itself.
 """
 
 from __future__ import annotations
@@ -43,6 +43,8 @@ SLICE_BYTES = 24 << 20
 MARK = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 SLOTS = 1 << 18
+#: Words of at least LONG bytes are taken in blocks of SPAN bytes, BLOCKS at once.
+LONG, SPAN, BLOCKS = 2048, 32, 1024
 
 
 class Lattice:
@@ -85,8 +87,8 @@ class Lattice:
             off = off[~hit & (got != 0)]
         return out
 
-    def forward(self, rows: np.ndarray) -> np.ndarray:
-        """Log of the summed probabilities of all segmentations; rows: bytes of equally long strings."""
+    def alphas(self, rows: np.ndarray) -> np.ndarray:
+        """Logs of the summed probabilities of all segmentations of every prefix; rows: bytes of equally long strings."""
         n, size = rows.shape
         prefix = np.zeros((n, size + 1), np.uint64)
         for j in range(size):
@@ -103,7 +105,51 @@ class Lattice:
             into = np.stack([alpha[:, j - k] + scores[k - 1][:, j - k] for k in range(1, min(j, reach) + 1)])
             top = into.max(0)
             alpha[:, j] = top + np.log(np.exp(into - top).sum(0))
-        return alpha[:, size]
+        return alpha
+
+    def forward(self, rows: np.ndarray) -> np.ndarray:
+        return self.alphas(rows)[:, -1]
+
+    def forward_long(self, row: np.ndarray) -> float:
+        """forward of one long string, in memory that does not grow with it.
+
+        The last ``longest`` alphas are all that later ones need. A block of SPAN bytes takes them to those at its
+        end by a matrix, and the matrices of BLOCKS blocks are made at once, a byte of all blocks at a time.
+        """
+        reach, head = self.longest, len(row) % SPAN
+        state = np.append(np.full(reach, -np.inf), self.alphas(row[None, :head])[0])[-reach:]
+        powers = [np.uint64(pow(int(BASE), k, 1 << 64)) for k in range(1, reach + 1)]
+        padded = np.append(np.zeros(reach - 1, np.uint8), row)
+        for first in range(head, len(row), SPAN * BLOCKS):
+            starts = np.arange(first, min(first + SPAN * BLOCKS, len(row)), SPAN)
+            data = padded[starts[:, None] + np.arange(reach - 1 + SPAN)]
+            prefix = np.zeros((len(starts), reach + SPAN), np.uint64)
+            for j in range(reach - 1 + SPAN):
+                prefix[:, j + 1] = prefix[:, j] * BASE + data[:, j] + np.uint64(1)
+            piece = np.empty((len(starts), SPAN, reach))  # the piece that starts k alphas after the oldest one
+            for k in range(1, reach + 1):
+                found = self.find((prefix[:, reach:] - prefix[:, reach - k : reach - k + SPAN] * powers[k - 1]).ravel())
+                piece[:, :, reach - k] = np.exp(found).reshape(len(starts), SPAN)
+            paths = np.zeros((len(starts), reach, reach + SPAN))
+            paths[:, :, :reach] = np.eye(reach)
+            scale = np.zeros((len(starts), reach, 1))
+            for j in range(SPAN):
+                paths[:, :, reach + j] = np.einsum("rbt,rt->rb", paths[:, :, j : reach + j], piece[:, j])
+                if j % 8 == 7:  # before anything is too small for a double
+                    window = paths[:, :, j + 1 : reach + j + 1]
+                    top = window.max(2, keepdims=True)
+                    top[top == 0] = 1
+                    window /= top
+                    scale += np.log(top)
+            with np.errstate(divide="ignore"):
+                steps = np.log(paths[:, :, SPAN:]) + scale
+            for step in steps:
+                into = state[:, None] + step
+                top = into.max(0)
+                top[np.isinf(top)] = 0
+                with np.errstate(divide="ignore"):
+                    state = top + np.log(np.exp(into - top).sum(0))
+        return float(state[-1])
 
     def log10(self, words: pa.Array) -> np.ndarray:
         raw = words.cast(pa.binary())
@@ -112,6 +158,9 @@ class Lattice:
         starts, out = np.cumsum(sizes) - sizes, np.empty(len(sizes))
         for size in np.unique(sizes).tolist():
             at = np.flatnonzero(sizes == size)
+            if size >= LONG:
+                out[at] = [self.forward_long(data[k : k + size]) for k in starts[at].tolist()]
+                continue
             step = max(1, (1 << 19) // size)
             for k in range(0, len(at), step):
                 some = at[k : k + step]

@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import tiktoken
@@ -188,3 +189,19 @@ def test_lattice_scores_of_odd_texts(spark, odd):
     untrained = lm.score(odd, F.lit(False), path).collect()
     assert all(r.n_known == 0 and r.train_tokens == 0 for r in untrained)
     assert lm.score(odd.limit(0), F.lit(True), path).count() == 0
+
+
+def test_long_words_are_scored_as_short_ones(monkeypatch):
+    """Blocks give what the plain recursion gives, at lengths around whole blocks and with the rarest pieces."""
+    monkeypatch.setattr(lm, "BLOCKS", 64)
+    rng = np.random.default_rng(3)
+    pieces = sorted({bytes(rng.choice(list(b"abcdef/+"), int(n)).astype(np.uint8)) for n in rng.integers(2, 26, 3000)} | {bytes([b]) for b in range(256)})
+    for least in (1.0, 1e-13):
+        lattice = lm.Lattice(pieces, np.log(rng.dirichlet(np.full(len(pieces), 0.3)) + least))
+        for size in (lm.LONG, lm.LONG + 1, lm.SPAN * lm.BLOCKS - 1, lm.SPAN * (lm.BLOCKS + 1) + 5):
+            row = rng.choice(list(b"abcdef/+xyz"), size).astype(np.uint8)
+            assert lattice.forward_long(row) == pytest.approx(lattice.forward(row[None])[0], rel=1e-11)
+    words = ["ab", "ab/" * 1000, "x" * 300_000, "ab/" * 1000]
+    got = lattice.log10(pa.array(words))
+    assert got[1] == got[3] and np.isfinite(got).all()
+    assert got[0] == pytest.approx(lattice.forward(np.frombuffer(b" ab", np.uint8)[None])[0] / math.log(10))
