@@ -121,3 +121,11 @@ def extract_name(text: Column) -> Column:
     """The dated name of a country extract from its replication timestamp, in UTC."""
     at = iso_instant(text)
     return F.when(at.isNotNull(), F.concat(F.lit("germany-"), F.substring(at, 3, 2), F.substring(at, 6, 2), F.substring(at, 9, 2), F.lit(".osm.pbf")))
+
+
+def named_date(name: Column, pattern: str) -> Column:
+    """The date in the first group of a pattern: DDMMYYYY or DDMMYY, with years to 50 in this century; null if it is no day of the calendar."""
+    raw = F.regexp_extract(name, pattern, 1)
+    digits = F.when(raw.rlike(r"^(\d{8}|\d{6})$"), raw)
+    century = F.when(F.length(digits) == 8, F.lit("")).when(F.substring(digits, 5, 2) <= "50", F.lit("20")).otherwise(F.lit("19"))
+    return F.try_to_date(F.concat(century, F.substring(digits, 5, 4), F.lit("-"), F.substring(digits, 3, 2), F.lit("-"), F.substring(digits, 1, 2)), "yyyy-MM-dd")

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from landmatch.functions.dates import named_date
 from landmatch.functions.geometry import call
 
 EVENT_SCHEMA = "kind string, runId string, at string, step string, dataset string, status string, reason string, durationMs bigint, exitCode int"
@@ -56,15 +57,23 @@ def read_register_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_workbook(spark: SparkSession, path: str, sheet: str, first_row: int = 7) -> DataFrame:
-    """(line, a, c..h): cells of the sheet whose name matches, from first_row on; one small workbook per file."""
-    columns = ["a", "c", "d", "e", "f", "g", "h"]
+    """(line, a, c..h, sheet, snapshot): rows from first_row on whose first cell is a number, of the sheet whose name matches; one small workbook per file.
+
+    snapshot is the date in the pattern's first group (DDMMYYYY), null without one. A workbook without such a sheet is an error.
+    """
+    columns = ["a", "c", "d", "e", "f", "g", "h", "sheet"]
 
     def cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for content in frame["content"]:
                 yield pd.DataFrame(list(sheet_rows(content, sheet, first_row)), columns=["line", *columns])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(cells, "line long, " + ", ".join(f"{c} string" for c in columns))
+    rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(cells, "line long, " + ", ".join(f"{c} string" for c in columns))
+    return rows.withColumn("snapshot", _dated(F.col("sheet"), sheet))
+
+
+def _dated(name: Column, pattern: str) -> Column:
+    return named_date(name, pattern) if re.compile(pattern).groups else F.lit(None).cast("date")
 
 
 def sheet_rows(content: bytes, sheet: str, first_row: int) -> Iterator[tuple]:
@@ -72,23 +81,34 @@ def sheet_rows(content: bytes, sheet: str, first_row: int) -> Iterator[tuple]:
 
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         tag = lambda e: e.tag.rsplit("}", 1)[-1]
+        plain = lambda e: {k.rsplit("}", 1)[-1]: v for k, v in e.items()}
+        inside = z.namelist()
         shared = []
-        if "xl/sharedStrings.xml" in z.namelist():
+        if "xl/sharedStrings.xml" in inside:
             shared = ["".join(t.text or "" for t in s.iter() if tag(t) == "t") for s in X.fromstring(z.read("xl/sharedStrings.xml")) if tag(s) == "si"]
-        names = [e.get("name") for e in X.fromstring(z.read("xl/workbook.xml")).iter() if tag(e) == "sheet"]
-        at = next(k for k, n in enumerate(names) if re.search(sheet, n))
-        for row in X.fromstring(z.read(f"xl/worksheets/sheet{at + 1}.xml")).iter():
+        sheets = [e for e in X.fromstring(z.read("xl/workbook.xml")).iter() if tag(e) == "sheet"]
+        at = next((k for k, e in enumerate(sheets) if re.search(sheet, e.get("name"))), None)
+        if at is None:
+            raise ValueError(f"no sheet matches {sheet}; there are {[e.get('name') for e in sheets]}")
+        # the workbook's relations name a sheet's file; without them files count as the sheets do
+        targets = {}
+        if "xl/_rels/workbook.xml.rels" in inside:
+            targets = {e.get("Id"): e.get("Target") for e in X.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        target = targets.get(plain(sheets[at]).get("id"), f"worksheets/sheet{at + 1}.xml")
+        file = target[1:] if target.startswith("/") else f"xl/{target}"
+        for row in X.fromstring(z.read(file)).iter():
             if tag(row) != "row" or int(row.get("r", 0)) < first_row:
                 continue
             found = {}
             for c in row:
                 value = "".join(e.text or "" for e in c.iter() if tag(e) in ("v", "t"))
-                found[re.sub("[0-9]", "", c.get("r", "")).lower()] = shared[int(value)] if c.get("t") == "s" and value else value
-            yield (int(row.get("r")), *(found.get(k) for k in ("a", "c", "d", "e", "f", "g", "h")))
+                found[re.sub("[0-9]", "", c.get("r", "")).lower()] = (shared[int(value)] if c.get("t") == "s" and value else value).strip()
+            if re.fullmatch("[0-9]+", found.get("a") or ""):
+                yield (int(row.get("r")), *(found.get(k) for k in ("a", "c", "d", "e", "f", "g", "h")), sheets[at].get("name"))
 
 
 def read_archive_members(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    """(archive, member, content) of the members whose name matches."""
+    """(archive, member, content, snapshot) of the members whose name matches; snapshot is the date in the pattern's first group (DDMMYYYY or DDMMYY), null without one."""
 
     def members(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -97,7 +117,8 @@ def read_archive_members(spark: SparkSession, path: str, pattern: str) -> DataFr
                     got = [(name, m, z.read(m)) for m in z.namelist() if re.search(pattern, m)]
                 yield pd.DataFrame(got, columns=["archive", "member", "content"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(members, "archive string, member string, content binary")
+    found = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(members, "archive string, member string, content binary")
+    return found.withColumn("snapshot", _dated(F.col("member"), pattern))
 
 
 def parse_events(lines: DataFrame, strict: bool = False, column: str = "value") -> DataFrame:

@@ -118,6 +118,28 @@ def test_workbook(spark, tmp_path):
     assert [(r.line, r.a, r.h) for r in rows] == [(7, "60", "Ort")]
 
 
+def test_workbook_by_its_relations_and_date(spark, tmp_path):
+    """The second sheet is stored as the first file; its name tells the date; rows without a number first are headings."""
+    sheet = lambda *rows: "<worksheet><sheetData>" + "".join(f'<row r="{r}"><c r="A{r}" t="inlineStr"><is><t>{a}</t></is></c><c r="H{r}" t="inlineStr"><is><t>{h}</t></is></c></row>' for r, a, h in rows) + "</sheetData></worksheet>"
+    with zipfile.ZipFile(tmp_path / "w.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", '<workbook xmlns:r="urn:r"><sheets><sheet name="Deckblatt" r:id="rId2"/><sheet name="Onlineprodukt_Gemeinden30062024" r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="rId1" Target="worksheets/sheet1.xml"/><Relationship Id="rId2" Target="/xl/worksheets/sheet2.xml"/></Relationships>')
+        z.writestr("xl/worksheets/sheet1.xml", sheet((7, " 60 ", "Ort"), (8, "Satz", "x"), (9, "", "y"), (10, "50", "Amt")))
+        z.writestr("xl/worksheets/sheet2.xml", sheet((7, "1", "cover")))
+    path = str(tmp_path / "w.xlsx")
+    rows = readers.read_workbook(spark, path, r"^Onlineprodukt_Gemeinden(\d{8})$").collect()
+    assert [(r.line, r.a, r.h, str(r.snapshot)) for r in rows] == [(7, "60", "Ort", "2024-06-30"), (10, "50", "Amt", "2024-06-30")]
+    assert [(r.h, r.snapshot) for r in readers.read_workbook(spark, path, "^Deck").collect()] == [("cover", None)]
+    with pytest.raises(Exception, match="no sheet matches"):
+        readers.read_workbook(spark, path, "^Nichts").collect()
+
+
+def test_dates_in_names(spark):
+    names = ["GV_31012024.txt", "GV_310150.txt", "GV_310151.txt", "GV_31022024.txt", "GV_290224.txt", "GV_1234567.txt", "other", None]
+    rows = spark.createDataFrame([(n,) for n in names], "n string").select(dates.named_date(F.col("n"), r"GV_(\d+)\.txt$").alias("d")).collect()
+    assert [r.d and str(r.d) for r in rows] == ["2024-01-31", "2050-01-31", "1951-01-31", None, "2024-02-29", None, None, None]
+
+
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("a", f"k{k}", k) for k in range(50)], "area string, key string, v long")
     sinks.write_comparison(rows, str(tmp_path / "t"), buckets=4)
