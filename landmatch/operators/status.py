@@ -15,7 +15,7 @@ one of another version or without a run counts as none; no updates give no docum
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BRANCH = "status string, updatedAt string, usedCache boolean, sourceOrigin string, artifactTimestamp string, errorCode string, errorMessage string, retryHint string, compareOutputOrigin string, compareOutputGeneratedAt string"
@@ -104,8 +104,10 @@ def attempts(rows: DataFrame, by: str) -> DataFrame:
     said = F.struct("seq", "outcome", "error_message")
     fresh = F.col("attempt").eqNullSafe(F.lit("fresh"))
     per = rows.groupBy(by, "run_id").agg(F.max("seq").alias("_seq"), F.max(F.when(fresh, said)).alias("fresh"), F.max(F.when(~fresh, said)).alias("fallback"))
-    runs = per.groupBy(by).agg(F.sort_array(F.slice(F.sort_array(F.collect_list("_seq"), asc=False), 1, 2), asc=False).alias("_two"), F.max(F.struct("_seq", "run_id", "fresh", "fallback")).alias("_last"))
-    before = F.get("_two", F.lit(1))
+    # two runs of a folder tell: the last one, and the end of the one before it
+    ranked = per.withColumn("_rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("_seq"), F.desc("run_id")))).where("_rank <= 2")
+    runs = ranked.groupBy(by).agg(F.max(F.when(F.col("_rank") == 2, F.col("_seq"))).alias("_before"), F.max(F.when(F.col("_rank") == 1, F.struct("_seq", "run_id", "fresh", "fallback"))).alias("_last"))
+    before = F.col("_before")
     valid = lambda c: F.when(before.isNull() | (F.col(f"_last.{c}.seq") > before), F.struct(F.col(f"_last.{c}.outcome").alias("outcome"), F.col(f"_last.{c}.error_message").alias("error_message")))
     there = lambda c: F.when(F.col(f"_last.{c}").isNotNull(), valid(c)).alias(c)
     return runs.select(by, "_last.run_id", there("fresh"), there("fallback"))
