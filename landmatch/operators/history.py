@@ -57,8 +57,14 @@ def phase(compare: Column, download: Column, extract: Column) -> Column:
     return F.when(compare, "compare").when(download & extract, "all").when(extract, "extract").when(download, "download").otherwise("unknown")
 
 
-def key_figures(runs: DataFrame) -> DataFrame:
-    """Ends of the latest good compare and download runs (by start), and the latest published data set."""
+def key_figures(runs: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """Ends of the latest good compare and download runs (by start), and the latest published data set.
+
+    state (in_progress, completed_at): where nothing is in progress, its completion counts as a publication.
+    """
+    if state is not None:
+        done = state.where(~F.coalesce("in_progress", F.lit(False))).select(F.col("completed_at").alias("published_at"))
+        runs = runs.unionByName(done, allowMissingColumns=True)
     ok = F.col("status") == "ok"
     end = F.coalesce("ended_at", "started_at")
     latest = lambda p: F.max_by(F.when(ok & (F.col("phase") == p), end), F.when(ok & (F.col("phase") == p) & end.isNotNull(), F.struct(F.coalesce("started_at", F.lit(0).cast("timestamp").cast(dict(runs.dtypes)["started_at"])), "run_id")))

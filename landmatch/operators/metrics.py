@@ -93,6 +93,15 @@ def exact_medians(values: DataFrame, by: list[str], value: str, name: str) -> Da
     return found.groupBy(*by).agg(((F.min("_v") + F.max("_v")) / 2).alias(name), F.max("n").alias("n"))
 
 
+def beside_previous(current: DataFrame, previous: DataFrame, by: list[str], key: str, metrics: list[str]) -> DataFrame:
+    """The rows of a run whose key the previous run (by.., key, metrics) measured too, with its metrics as prev_..
+
+    Rows without an iou were not measured; a key is there once in either run.
+    """
+    known = previous.where("iou is not null").select(*by, key, *[F.col(m).alias(f"prev_{m}") for m in metrics])
+    return current.where("iou is not null").join(known, [*by, key])
+
+
 def anomalies(rows: DataFrame, by: list[str], key: str, metrics: dict[str, str] = BASELINE) -> DataFrame:
     """(by.., key, reasons): keys whose change in a metric stands out among the group's changes by the modified z-score.
 

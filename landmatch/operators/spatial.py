@@ -23,6 +23,15 @@ def box(prefix: str = "") -> list[Column]:
     return [F.col(f"{prefix}{c}") for c in ("x0", "y0", "x1", "y1")]
 
 
+def feature_box(props: Column, geom: Column) -> Column:
+    """(w, s, e, n): a feature's stored box where all four of its numbers are finite, else that of its geometry, which is null for none or a broken one."""
+    stored = [F.try_element_at(props, F.lit(f"_bbox_{c}")).try_cast("double") for c in ("minx", "miny", "maxx", "maxy")]
+    finite = F.lit(True)
+    for c in stored:
+        finite = finite & F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False))
+    return F.when(finite, F.struct(*[c.alias(n) for c, n in zip(stored, "wsen", strict=True)])).otherwise(call("Envelope", geom))
+
+
 def boxes_overlap(a: str, b: str) -> Column:
     """Closed intervals: boxes that touch overlap."""
     (ax0, ay0, ax1, ay1), (bx0, by0, bx1, by1) = box(a), box(b)
