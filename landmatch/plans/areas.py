@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landmatch.functions import geometry
-from landmatch.operators import areas, discussions, history, metrics, spatial
+from landmatch.operators import areas, discussions, history, live, metrics, spatial
 from landmatch.plans.base import query, stamp, stamp_sql, table
 from landmatch.plans.history import LOG_SQL, _latest, log
 
@@ -137,3 +137,11 @@ def feature_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     props = F.create_map(F.lit("_bbox_minx"), text(x + 0.5), F.lit("_bbox_miny"), text(y), F.lit("_bbox_maxx"), F.when(k % 3 == 0, text(x + 2)).when(k % 3 == 1, "NaN").otherwise("wide"), F.lit("_bbox_maxy"), text(y + 7))
     geom = F.when(k % 7 != 0, geometry.rectangle(x, y, x + 2, y + 1)).when(k % 2 == 0, F.lit(b"broken"))
     return table(spark, sf_dir, "orders").select("o_orderkey", spatial.feature_box(props, geom).alias("b")).where("b is not null").select("o_orderkey", "b.*")
+
+
+@query("""SELECT doc_id, 'wfs:' || source || ':' || CASE WHEN doc_id % 4 < 2 THEN CAST(row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS VARCHAR) ELSE 'id-' || doc_id END AS row_key FROM documents""")
+def live_keys_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of live rows, numbered inside their source; half of them have no id."""
+    k = F.col("doc_id")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", F.when(k % 4 > 1, F.concat(F.lit("id-"), k.cast("string"))).when(k % 4 == 1, "").alias("ident"))
+    return live.row_keys(rows, "source", "ident", ["n_chars", "doc_id"], F.lit("wfs")).select("doc_id", "row_key")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from landmatch.functions import geometry
 from landmatch.functions.geometry import call
-from landmatch.operators import areas, discussions, history, spatial
+from landmatch.operators import areas, discussions, history, live, spatial
 
 METRICS = {"iou": 1, "areaDiffPct": 0, "symmetricDiffPct": 0.5, "hausdorffM": 3, "officialAreaM2": 1e6, "osmAreaM2": 1e6, "issueIndicator": {"level": "review", "reasons": []}}
 ROW = {"canonicalMatchKey": "k", "nameLabel": "n", "osmRelationId": "1", "category": "matched", "metrics": METRICS, "mapBbox": None}
@@ -145,3 +145,21 @@ def test_stored_box_comes_first(spark):
     df = df.withColumn("geom", F.when(F.col("k").isin(1, 2, 3), geometry.rectangle(F.lit(0), F.lit(0), F.lit(1), F.lit(1))).otherwise(F.col("geom")))
     found = {r.k: r.b and tuple(r.b) for r in df.select("k", spatial.feature_box(F.col("props"), F.col("geom")).alias("b")).collect()}
     assert found == {0: (1, 2.5, 3, 4), 1: (0, 0, 1, 1), 2: (0, 0, 1, 1), 3: (0, 0, 1, 1), 4: None}
+
+
+def test_numbers_inside_a_group_over_many_ranges(spark):
+    rows = [(None if k % 50 == 0 else "hot" if k % 3 else f"s{k % 7}", None if k % 31 == 0 else (k * 37) % 101, k) for k in range(600)]
+    df = spark.createDataFrame(rows, "source string, at int, k int").repartition(7)
+    found = {r.k: r.place for r in live.numbered(df, "source", ["at", "k"], "place").collect()}
+    wanted, groups = {}, {}
+    for source, at, k in rows:
+        groups.setdefault(source, []).append((at is not None, at or 0, k))
+    for members in groups.values():
+        wanted |= {k: n for n, (_, _, k) in enumerate(sorted(members), 1)}
+    assert found == wanted
+    assert live.numbered(df.limit(0), "source", ["at", "k"], "place").count() == 0
+
+
+def test_row_keys(spark):
+    rows = spark.createDataFrame([("a", "7", 1), ("a", None, 2), ("a", "", 3), ("b", " ", 9), ("b", "x", 10)], "source string, ident string, at int")
+    assert sorted(r.row_key for r in live.row_keys(rows, "source", "ident", ["at"], F.lit("wfs")).collect()) == ["wfs:a:2", "wfs:a:3", "wfs:a:7", "wfs:b:1", "wfs:b:x"]
