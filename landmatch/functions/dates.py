@@ -98,14 +98,19 @@ def stale(ts: Column, now: Column, days: int) -> Column:
 
 
 def age_bucket(ts: Column, now: Column) -> Column:
-    """(unit, n): hours from 1 to 25, months from 12 to 13 full ones, years beyond; else the distance, in minutes below an hour or ahead of now, in days otherwise."""
+    """(unit, n): hours from 1 to 25, months from 12 to 13 full ones, years beyond; else the distance, in minutes below an hour or ahead of now, in days otherwise.
+
+    On the last day of a month, months that began on a later day than it has are full too, at their time of day.
+    """
     gap = age(ts, now)
     part = lambda unit: F.extract(F.lit(unit), gap)
     minutes = (part("DAY") * 24 + part("HOUR")) * 60 + part("MINUTE")
     hours = F.floor(minutes / 60)
     t, n = ts.cast("timestamp_ntz"), now.cast("timestamp_ntz")
-    clock = lambda c: F.struct(F.dayofmonth(c), F.hour(c), F.minute(c), F.extract(F.lit("SECOND"), c))
-    months = (F.year(n) - F.year(t)) * 12 + F.month(n) - F.month(t) - F.when(clock(n) < clock(t), 1).otherwise(0)
+    day = F.dayofmonth(n)
+    begun = F.when(F.last_day(n) == F.to_date(n), F.least(F.dayofmonth(t), day)).otherwise(F.dayofmonth(t))
+    clock = lambda d, c: F.struct(d, F.hour(c), F.minute(c), F.extract(F.lit("SECOND"), c))
+    months = (F.year(n) - F.year(t)) * 12 + F.month(n) - F.month(t) - F.when(clock(day, n) < clock(begun, t), 1).otherwise(0)
     pick = lambda unit, v: F.struct(F.lit(unit).alias("unit"), v.cast("long").alias("n"))
     ahead = t > n
     return (

@@ -183,6 +183,14 @@ def test_instants_do_not_depend_on_the_session(spark):
         spark.conf.set("spark.sql.session.timeZone", before)
 
 
+def test_months_end_on_the_last_day_of_a_shorter_month(spark):
+    """2023-01-31 to 2024-02-29 are 13 full months, as DuckDB's date_sub counts them, but not before the time of day."""
+    cases = {("2023-01-31 08:00:00", "2024-02-29 08:00:00"): ("months", 13), ("2023-01-31 08:00:00", "2024-02-29 07:59:59"): ("months", 12), ("2023-01-31 08:00:00", "2024-03-30 09:00:00"): ("months", 13), ("2022-12-31 00:00:00", "2024-02-29 00:00:00"): ("years", 1), ("2022-12-30 00:00:00", "2024-02-28 00:00:00"): ("months", 13)}
+    for (start, end), wanted in cases.items():
+        found = one(spark, dates.age_bucket(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")))
+        assert (found.unit, found.n) == wanted
+
+
 def test_live_queries(spark):
     box = tuple(F.lit(x) for x in (13.0, 52.5, 13.25, 53.0))
     assert one(spark, web.overpass_query("postal_code", box)) == '[out:json][timeout:90];\n(\n  relation["boundary"="postal_code"](52.5,13,53,13.25);\n  way["boundary"="postal_code"](52.5,13,53,13.25);\n);\nout geom;'
