@@ -165,40 +165,61 @@ def point_hits(rows: DataFrame, points: DataFrame, by: list[str], cell: float) -
 
 
 def points_in_polygons(rows: DataFrame, points: DataFrame, official_keys: DataFrame, by: list[str], key: str, cell: float, fields: tuple[str, ...] = ("name", "admin_level", "regional", "amtlicher"), factor: float = SHRINK) -> DataFrame:
-    """(by.., key, candidates): the candidate points in each row's polygon shrunk about its centroid.
+    """(by.., key, candidates, n_rows): the candidate points in each row's polygon shrunk about its centroid.
 
     rows: by.., key, geom (WKB in the points' coordinates, or null); points, official_keys and fields as for
     ``candidate_points``. Boxes of the shrunk polygons find the points; then each polygon is indexed by its edges once
     and asked for all points that a task has for it.
     """
+    rows = dealt(rows, by, key)
     small = rows.withColumn("geom", call("Shrink", "geom", F.lit(factor))).withColumn("_box", call("Envelope", "geom"))
     boxed = small.select(*by, key, "geom", *[F.col(f"_box.{c}").alias(n) for c, n in zip("wsen", ("x0", "y0", "x1", "y1"), strict=True)])
-    hits = point_hits(boxed, points, by, cell).where(call("HoldsPoint", "geom", "r_x0", "r_y0")).drop("geom")
-    return listed(rows, hits, official_keys, by, key, fields)
+    hits = eligible_hits(boxed, points, official_keys, by, key, cell).where(call("HoldsPoint", "geom", "r_x0", "r_y0")).drop("geom")
+    return listed(rows, hits, by, key, fields)
 
 
 def candidate_points(rows: DataFrame, points: DataFrame, official_keys: DataFrame, by: list[str], key: str, cell: float, covers: Column, fields: tuple[str, ...] = ("name",)) -> DataFrame:
-    """(by.., key, candidates): points inside each row, relations first, then by id; rows without a hit have an empty list.
+    """(by.., key, candidates, n_rows): points inside each key's rows, relations first, then by id; keys without a hit have an empty list.
 
     rows: by.., key, x0.. (box of the shrunk polygon); points: by.., osm_type, osm_id, canonical, x0.. (a box of no size)
     and the text columns ``fields`` that candidates carry, blanks as null. A point whose own key belongs to another
-    official row is dropped; one with the row's own key stays.
+    official row is dropped; one with the row's own key stays. Rows of one key are one: n_rows is their number, and
+    ``times`` of a candidate the number of its hits in them.
     """
-    return listed(rows, point_hits(rows, points, by, cell).where(covers), official_keys, by, key, fields)
+    rows = dealt(rows, by, key)
+    return listed(rows, eligible_hits(rows, points, official_keys, by, key, cell).where(covers), by, key, fields)
 
 
-def listed(rows: DataFrame, hits: DataFrame, official_keys: DataFrame, by: list[str], key: str, fields: tuple[str, ...]) -> DataFrame:
-    """The hits of each row as a list, without points of other rows' keys."""
-    taken = official_keys.select(*[F.col(c).alias(f"k_{c}") for c in by], F.col(key).alias("k_key"))
-    foreign = [*[F.col(c) == F.col(f"k_{c}") for c in by], F.col("r_canonical") == F.col("k_key"), F.col("r_canonical") != F.col(key), F.col("r_canonical") != ""]
-    free = hits.join(taken, foreign, "left_anti")
+def dealt(rows: DataFrame, by: list[str], key: str) -> DataFrame:
+    """rows dealt by key, as the lists need them, before any work on shapes: a small file is not one task's."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, key)
+
+
+def eligible_hits(rows: DataFrame, points: DataFrame, official_keys: DataFrame, by: list[str], key: str, cell: float) -> DataFrame:
+    """Pairs as of ``point_hits``, without points of other rows' keys.
+
+    A point whose key an official row has can only be a candidate of that key, so it meets the rows of its key and
+    no others; only the rest are looked for by place.
+    """
+    taken = official_keys.select(*[F.col(c).alias(f"k_{c}") for c in by], F.col(key).alias("k_key")).where("k_key <> ''").distinct()
+    known = [*[F.col(c) == F.col(f"k_{c}") for c in by], F.col("canonical") == F.col("k_key")]
+    owned = points.join(taken, known, "left_semi").select(*[F.col(c).alias(f"r_{c}") for c in points.columns])
+    inside = F.col("r_x0").between(F.col("x0"), F.col("x1")) & F.col("r_y0").between(F.col("y0"), F.col("y1"))
+    by_key = rows.join(owned, [*[F.col(c) == F.col(f"r_{c}") for c in by], F.col(key) == F.col("r_canonical"), inside])
+    return point_hits(rows, points.join(taken, known, "left_anti"), by, cell).unionByName(by_key)
+
+
+def listed(rows: DataFrame, hits: DataFrame, by: list[str], key: str, fields: tuple[str, ...]) -> DataFrame:
+    """The hits of each key's rows as a list."""
     rank = F.when(F.col("r_osm_type") == "relation", 0).otherwise(1)
     carried = [F.nullif(F.trim(F.col(f"r_{c}")), F.lit("")).alias(c) for c in fields]
     # of points of one object, one is listed
-    one = free.groupBy(*by, key, rank.alias("_rank"), F.col("r_osm_id").alias("_id")).agg(F.min(F.struct(rank.alias("rank"), F.col("r_osm_id").alias("osm_id"), F.col("r_osm_type").alias("osm_type"), *carried)).alias("_c"))
-    lists = one.groupBy(*by, key).agg(F.array_sort(F.collect_list("_c")).alias("candidates"))
-    empty = F.array().cast(f"array<struct<rank:int,osm_id:bigint,osm_type:string,{','.join(f'{c}:string' for c in fields)}>>")
-    return rows.select(*by, key).join(lists, [*by, key], "left").withColumn("candidates", F.coalesce("candidates", empty))
+    told = F.struct(rank.alias("rank"), F.col("r_osm_id").alias("osm_id"), F.col("r_osm_type").alias("osm_type"), *carried)
+    one = hits.groupBy(*by, key, rank.alias("_rank"), F.col("r_osm_id").alias("_id")).agg(F.min(told).alias("_c"), F.count("*").alias("_times"))
+    lists = one.groupBy(*by, key).agg(F.array_sort(F.collect_list(F.struct("_c.*", F.col("_times").alias("times")))).alias("candidates"))
+    empty = F.array().cast(f"array<struct<rank:int,osm_id:bigint,osm_type:string,{','.join(f'{c}:string' for c in fields)},times:bigint>>")
+    each = rows.groupBy(*by, key).agg(F.count("*").alias("n_rows"))
+    return each.join(lists, [*by, key], "left").select(*by, key, F.coalesce("candidates", empty).alias("candidates"), "n_rows")
 
 
 def row_bbox() -> list[Column]:

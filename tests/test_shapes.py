@@ -105,6 +105,13 @@ def test_candidates_in_polygons(spark):
     assert got == {"k1": [("relation", 2, "n", None), ("relation", 11, "n", None), ("way", 9, "n", None), ("way", 12, "n", None)], "k2": [], "k3": [("way", 9, "n", None)]}
 
 
+def test_points_of_known_keys_meet_their_rows_only(spark):
+    rows = spark.createDataFrame([(1, k, 0.0, 0.0, 9.0, 9.0) for k in ("a", "b", "c")], "g int, key string, x0 double, y0 double, x1 double, y1 double")
+    points = spark.createDataFrame([(1, "way", 1, "a", 1.0, 1.0), (1, "way", 2, "zz", 2.0, 2.0), (1, "way", 3, "b", 20.0, 2.0), (1, "way", 4, "", 3.0, 3.0)], "g int, osm_type string, osm_id long, canonical string, x0 double, y0 double")
+    hits = spatial.eligible_hits(rows, points, rows, ["g"], "key", 4.0).select("key", "r_osm_id").collect()
+    assert sorted(map(tuple, hits)) == [("a", 1), ("a", 2), ("a", 4), ("b", 2), ("b", 4), ("c", 2), ("c", 4)]
+
+
 @pytest.mark.parametrize("n", [1, 2, 7, 500, 501])
 def test_exact_medians(spark, n):
     rng = random.Random(n)
