@@ -72,8 +72,8 @@ def cells(x0: Column, y0: Column, x1: Column, y1: Column, level: Column, cell: f
     return F.flatten(F.transform(span(x0, x1), lambda i: F.transform(span(y0, y1), lambda j: F.struct(level.alias("level"), i.alias("i"), j.alias("j")))))
 
 
-def grid_pairs(left: DataFrame, right: DataFrame, by: list[str], cell: float) -> DataFrame:
-    """Pairs of rows of equal ``by`` whose boxes (x0, y0, x1, y1) overlap, each once; the right side's columns get the prefix r_.
+def meetings(left: DataFrame, right: DataFrame, by: list[str], cell: float, how: str, more: Column | None = None) -> DataFrame:
+    """Joins rows of equal ``by`` in the grid cells where their boxes (x0, y0, x1, y1) meet; the right side's columns have the prefix r_.
 
     A pair meets at the coarser of its two levels. Levels that the other side has no box of are not looked at: at most
     LEVELS values are sent round for that.
@@ -93,13 +93,20 @@ def grid_pairs(left: DataFrame, right: DataFrame, by: list[str], cell: float) ->
 
     met = []
     for one, two in ((asked(left, right, 0), stored(right)), (stored(left), asked(right, left, 1))):
-        a, b = one.alias("a"), renamed(two).alias("b")
-        met.append(a.join(b, [*[F.col(f"a.{c}") == F.col(f"b.r_{c}") for c in by], F.col("a._cell") == F.col("b._cell")]).select("a.*", *[f"b.r_{c}" for c in right.columns]))
-    pairs = met[0].unionByName(met[1])
+        on = [*[F.col(f"a.{c}") == F.col(f"b.r_{c}") for c in by], F.col("a._cell") == F.col("b._cell"), *([] if more is None else [more])]
+        joined = one.alias("a").join(renamed(two).alias("b"), on, how)
+        met.append(joined if how == "left_semi" else joined.select("a.*", *[f"b.r_{c}" for c in right.columns]))
+    return met[0].unionByName(met[1])
+
+
+OVERLAP = "x0 <= r_x1 and r_x0 <= x1 and y0 <= r_y1 and r_y0 <= y1"
+
+
+def grid_pairs(left: DataFrame, right: DataFrame, by: list[str], cell: float) -> DataFrame:
+    """Pairs of rows of equal ``by`` whose boxes overlap, each once."""
     size = F.lit(cell) * F.pow(F.lit(4.0), F.col("_cell.level"))
-    overlap = (F.col("x0") <= F.col("r_x1")) & (F.col("r_x0") <= F.col("x1")) & (F.col("y0") <= F.col("r_y1")) & (F.col("r_y0") <= F.col("y1"))
     home = (F.floor(F.greatest("x0", "r_x0") / size) == F.col("_cell.i")) & (F.floor(F.greatest("y0", "r_y0") / size) == F.col("_cell.j"))
-    return pairs.where(overlap & home).drop("_cell")
+    return meetings(left, right, by, cell, "inner").where(F.expr(OVERLAP) & home).drop("_cell")
 
 
 def scope_condition(inter: Column, osm_area: Column, centroid_inside: Column, intersects: Column) -> Column:
@@ -108,20 +115,29 @@ def scope_condition(inter: Column, osm_area: Column, centroid_inside: Column, in
     return intersects & (centroid_inside | substantive)
 
 
-def scope_semi_join(osm: DataFrame, official: DataFrame, by: list[str], cell: float, osm_id: str, keep: Column) -> DataFrame:
-    """osm rows for which some overlapping official row (columns r_..) satisfies ``keep``; each once."""
-    pairs = grid_pairs(osm, official, by, cell).where(keep)
-    return osm.join(pairs.select(*by, osm_id).distinct(), [*by, osm_id], "left_semi")
+def scope_semi_join(osm: DataFrame, official: DataFrame, by: list[str], cell: float, keep: Column, uses: tuple[str, ...] = ()) -> DataFrame:
+    """osm rows for which some overlapping official row (columns r_..) satisfies ``keep``; each once.
+
+    ``keep`` may read ``by``, the boxes and the columns in ``uses``. Only whether there is such a row counts: rows
+    that agree in all these are looked at once, and a box is done with the first one that keeps it.
+    """
+    columns = [*by, "x0", "y0", "x1", "y1", *uses]
+    some = meetings(osm.select(*columns).distinct(), official.select(*columns).distinct(), by, cell, "left_semi", F.expr(OVERLAP) & keep)
+    seen = some.select(*[F.col(c).alias(f"_{c}") for c in columns])
+    return osm.join(seen, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns], "left_semi")
 
 
 def polygon_scope(osm: DataFrame, official: DataFrame, by: list[str], cell: float, osm_id: str) -> DataFrame:
-    """The scope filter on WKB polygons in longitude and latitude; boxes come first, then cheap predicates, then the overlap's area."""
+    """The scope filter on WKB polygons in longitude and latitude; boxes come first, then cheap predicates, then the overlap's area.
+
+    Rows that share an id are judged one by one.
+    """
     lap = call("Difference", F.col("geom"), call("Difference", F.col("geom"), F.col("r_geom")))
     area = F.coalesce(call("GeodesicArea", lap), F.lit(0.0))
     inside = call("Covers", F.col("r_geom"), call("Centroid", F.col("geom")))
     touching = call("Intersects", F.col("geom"), F.col("r_geom"))
     keep = F.when(~touching, F.lit(False)).when(inside, F.lit(True)).otherwise(scope_condition(area, call("GeodesicArea", F.col("geom")), F.lit(False), F.lit(True)))
-    return scope_semi_join(osm, official, by, cell, osm_id, keep)
+    return scope_semi_join(osm, official, by, cell, keep, ("geom",))
 
 
 def shrunk(x0: Column, y0: Column, x1: Column, y1: Column, factor: float = SHRINK) -> list[Column]:

@@ -112,6 +112,14 @@ def test_points_of_known_keys_meet_their_rows_only(spark):
     assert sorted(map(tuple, hits)) == [("a", 1), ("a", 2), ("a", 4), ("b", 2), ("b", 4), ("c", 2), ("c", 4)]
 
 
+def test_scope_judges_rows_of_one_id_one_by_one(spark):
+    box = "g int, id int, x0 double, y0 double, x1 double, y1 double"
+    osm = spark.createDataFrame([(1, 7, 0.0, 0.0, 1.0, 1.0), (1, 7, 90.0, 0.0, 91.0, 1.0), (1, 8, 0.0, 0.0, 1.0, 1.0), (2, 9, 0.0, 0.0, 1.0, 1.0), (1, None, 0.0, 0.0, 1.0, 1.0)], box)
+    official = spark.createDataFrame([(1, n, 0.0, 0.0, 40.0, 40.0) for n in range(50)], box)
+    kept = spatial.scope_semi_join(osm, official, ["g"], 8.0, keep=F.col("r_x1") > F.col("x1")).collect()
+    assert sorted((r.id or 0, r.x0) for r in kept) == [(0, 0.0), (7, 0.0), (8, 0.0)]
+
+
 @pytest.mark.parametrize("n", [1, 2, 7, 500, 501])
 def test_exact_medians(spark, n):
     rng = random.Random(n)
