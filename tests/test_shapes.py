@@ -105,6 +105,15 @@ def test_candidates_in_polygons(spark):
     assert got == {"k1": [("relation", 2, "n", None), ("relation", 11, "n", None), ("way", 9, "n", None), ("way", 12, "n", None)], "k2": [], "k3": [("way", 9, "n", None)]}
 
 
+def test_answers_share_a_parser(spark):
+    """A thread makes one parser, and a broken answer does not spoil it for the next one."""
+    texts = ['<r><member><u gml:id="1"/></member></r>', "<r><member>", "", '<r><member><u gml:id="2"/></member></r>']
+    found = [(r.error, r.id) for r in answers.features(spark.createDataFrame(list(enumerate(texts)), "k int, t string").coalesce(1), "t", ["k"]).orderBy("k").collect()]
+    assert found == [(None, "1"), (answers.INVALID, None), (None, "2")]
+    source = next(p for p in geometry.SOURCES if p.name == "ShapeUdfs.java").read_text()
+    assert "ThreadLocal<DocumentBuilder>" in source
+
+
 def test_points_of_known_keys_meet_their_rows_only(spark):
     rows = spark.createDataFrame([(1, k, 0.0, 0.0, 9.0, 9.0) for k in ("a", "b", "c")], "g int, key string, x0 double, y0 double, x1 double, y1 double")
     points = spark.createDataFrame([(1, "way", 1, "a", 1.0, 1.0), (1, "way", 2, "zz", 2.0, 2.0), (1, "way", 3, "b", 20.0, 2.0), (1, "way", 4, "", 3.0, 3.0)], "g int, osm_type string, osm_id long, canonical string, x0 double, y0 double")
