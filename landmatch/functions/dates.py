@@ -56,20 +56,28 @@ def snapshot_date(text: Column) -> Column:
     return F.when(~t.rlike("^[0-9]{8}$"), F.lit(None).cast("date")).when(year.between(1900, 2100), F.try_to_date(t, "yyyyMMdd")).otherwise(F.try_to_date(t, "ddMMyyyy"))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def utc_text(ts: Column) -> Column:
-    """A UTC instant as YYYY-MM-DDThh:mm:ss.mmmZ, made of its fields so that the session's zone plays no part."""
-    t = ts.cast("timestamp_ntz")
-    ms = F.floor(F.extract(F.lit("SECOND"), t) * 1000).cast("int") % 1000
-    return F.when(t.isNotNull(), F.format_string("%sT%02d:%02d:%02d.%03dZ", F.to_date(t).cast("string"), F.hour(t), F.minute(t), F.second(t), ms))
+    """A UTC instant as YYYY-MM-DDThh:mm:ss.mmmZ, made of the zoneless value's text so that the session's zone plays no part."""
+    fraction = lambda s: F.when(F.contains(s, F.lit(".")), F.substring_index(s, ".", -1)).otherwise("")
+    whole = lambda s: F.replace(F.substring_index(s, ".", 1), F.lit(" "), F.lit("T"))
+    return let(ts.cast("timestamp_ntz").cast("string"), lambda s: F.concat(whole(s), F.lit("."), F.rpad(fraction(s), 3, "0"), F.lit("Z")))
 
 
 def iso_instant(text: Column) -> Column:
     """The instant, normalised to UTC with milliseconds; a date alone is its midnight; what names no zone is UTC; anything else is null."""
     form = r"^(\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?)?)(?:Z|([+-])(\d{2}):?(\d{2}))?$"
-    part = lambda k: F.regexp_extract(F.trim(text), form, k)
-    minutes = F.coalesce(part(3).try_cast("int") * 60 + part(4).try_cast("int"), F.lit(0)) * F.when(part(2) == "-", -1).otherwise(1)
-    local_time = part(1).try_cast("timestamp_ntz")
-    return utc_text(local_time - F.make_dt_interval(mins=minutes))
+
+    def instant(p: Column) -> Column:
+        minutes = F.coalesce(p[2].try_cast("int") * 60 + p[3].try_cast("int"), F.lit(0)) * F.when(p[1] == "-", -1).otherwise(1)
+        return p[0].try_cast("timestamp_ntz") - F.make_dt_interval(mins=minutes)
+
+    parts = lambda x: F.when(x.rlike(form), F.split(F.regexp_replace(x, form, "$1|$2|$3|$4"), r"\|"))
+    return utc_text(let(let(F.trim(text), parts), instant))
 
 
 def refresh_decision(force: Column, exists: Column, cached_at: Column, now: Column, not_before: int = 1, zone: str = ZONE) -> Column:
@@ -124,8 +132,7 @@ def age_bucket(ts: Column, now: Column) -> Column:
 
 def extract_name(text: Column) -> Column:
     """The dated name of a country extract from its replication timestamp, in UTC."""
-    at = iso_instant(text)
-    return F.when(at.isNotNull(), F.concat(F.lit("germany-"), F.substring(at, 3, 2), F.substring(at, 6, 2), F.substring(at, 9, 2), F.lit(".osm.pbf")))
+    return let(iso_instant(text), lambda at: F.concat(F.lit("germany-"), F.substring(at, 3, 2), F.substring(at, 6, 2), F.substring(at, 9, 2), F.lit(".osm.pbf")))
 
 
 def named_date(name: Column, pattern: str) -> Column:
