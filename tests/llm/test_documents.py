@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 import textwrap
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -407,6 +408,45 @@ def test_neighbours_of_odd_vectors(spark):
     assert ann.search(table.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_neighbours_walk_is_one_number():
+    """A walk of most cells is told by where it ends, not by a list of them."""
+    random = np.random.default_rng(5)
+    books = [random.normal(size=(300, 4)), random.normal(size=(300, 4))]
+    cells = np.sort(random.permutation(90_000)[:40_000])
+    held = random.integers(1, 4, len(cells))
+    for wanted in (1, 44, 39_000, int(held.sum()) - 1):
+        scores = ann.cell_scores(random.normal(size=8), books, cells)
+        order = np.argsort(scores, kind="stable")
+        upto = np.cumsum(held[order])
+        assert ann.reach(scores, held, wanted) == scores[order[np.searchsorted(upto, wanted)]]
+    assert ann.reach(scores, held, int(held.sum())) == np.inf
+    assert ann.reach(np.full(5, 2.0), np.ones(5), 3) == 2.0
+    tracemalloc.start()
+    ann.reach(scores, held, 60_000)
+    assert tracemalloc.get_traced_memory()[1] < 100 * len(cells)
+    tracemalloc.stop()
+
+
+def test_neighbours_meet_in_lots_and_blocks(spark, monkeypatch):
+    """Blocks of few vectors, one cell in several blocks, and more queries than a lot: the results are those of brute force."""
+    monkeypatch.setattr(ann, "BLOCK", 24)
+    monkeypatch.setattr(ann, "LOT", 5)
+    random = np.random.default_rng(6)
+    v = np.vstack([random.normal(size=(500, 6)), 9 + 1e-4 * random.normal(size=(300, 6))])
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in ann.search(table, F.col("vec_id") % 10 == 0, reached=1.0).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert found.keys() == set(range(0, 800, 10))
+    hits = 0
+    for q, got in found.items():
+        distance = np.sqrt(((v - v[q]) ** 2).sum(1))
+        exact = [int(i) for i in np.lexsort((np.arange(800), distance)) if i != q][:10]
+        assert [s for _, s in got] == [distance[i] for i, _ in got]
+        hits += len({i for i, _ in got} & set(exact))
+    assert hits >= 0.95 * 800
+
+
 # ---- pipeline
 
 
